@@ -55,6 +55,10 @@ class WordBPE:
         self.ids: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
         self.ranks = {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): i for i, m in enumerate(model["merges"])}
+        self.made = {a + b: (a, b) for a, b in self.ranks}
+        if len(self.made) < len(self.ranks):
+            raise ValueError("two merges make the same token")
+        self.spines: tuple[dict[str, list[tuple[str, int]]], dict[str, list[tuple[str, int]]]] = ({}, {})
         self.names = {i: t for t, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names.update({i: t for t, i in self.special.items()})
@@ -90,9 +94,46 @@ class WordBPE:
             return [*body[:-1], body[-1] + self.end]
         return list(token)
 
+    def spine(self, token: str, side: int) -> list[tuple[str, int]]:
+        """From the outermost symbol on a side (0 left, 1 right) to the token: each part, and the rank that joins it to more."""
+        known = self.spines[side].get(token)
+        if known is None:
+            known, part, rank = [], token, len(self.ranks)
+            while part:
+                known.append((part, rank))
+                pair = self.made.get(part)
+                part, rank = (pair[side], self.ranks[pair]) if pair else ("", 0)
+            known.reverse()
+            self.spines[side][token] = known
+        return known
+
     def may_follow(self, before: str, token: str) -> bool:
-        """Whether the encoding of the two tokens' joined symbols is just these two; before may be empty."""
-        return self.merged([*self.symbols(before), *self.symbols(token)]) == ([before, token] if before else [token])
+        """Whether the encoding of the two tokens' joined symbols is just these two; before may be empty.
+
+        Merges happen in the order of their ranks, the leftmost first. So a merge over the seam
+        happens if its rank is lower than that of the merge that takes the part on its left
+        away, and not higher than that on its right; else the lower of these comes first.
+        """
+        if not before:
+            return self.merged(self.symbols(token)) == [token]
+        own = self.followers[self.end != "" and token.endswith(self.end) and token != self.end]
+        alone = own[token[: -len(self.end)] if own is not self.followers[0] else token]
+        if "" not in alone:
+            alone[""] = self.may_follow("", token)
+        if not alone[""]:
+            return False
+        left, right = iter(self.spine(before, 1)), iter(self.spine(token, 0))
+        (a, a_rank), (b, b_rank), never = next(left), next(right), len(self.ranks)
+        while True:
+            rank = self.ranks.get((a, b), never)
+            if rank < a_rank and rank <= b_rank and rank < never:
+                return False
+            if a_rank == never and b_rank == never:
+                return True
+            if a_rank <= b_rank:
+                a, a_rank = next(left)
+            else:
+                b, b_rank = next(right)
 
     def last_token(self, prefix: str, states: list[str], end: bool) -> str:
         """The last token of the prefix's encoding; states[i] is that of its first i symbols."""

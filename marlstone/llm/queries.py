@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, htmltext, topk, urlfilter
-from .base import table
+from . import bpe, chat, htmltext, langid, topk, toxicity, urlfilter
+from .base import split_of, table
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.identify(docs, split_of(F.col("doc_id"), 4) != 2)
+    return out.select("doc_id", F.coalesce(split_of(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +27,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns.unionByName(own)))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels, split_of(F.col("doc_id"), 3) != 1)
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(split_of(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -37,7 +49,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_url_filter, op4_chat_format, op8_html_text, op9_top_k, op10_bpe)
+    f.__name__: f for f in (op1_language, op3_url_filter, op4_chat_format, op5_toxicity, op8_html_text, op9_top_k, op10_bpe)
 }
 
 
