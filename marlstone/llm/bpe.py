@@ -66,7 +66,14 @@ class WordBPE:
         within = {t: {} for t in self.ids if not self.end or not t.endswith(self.end) or t == self.end}
         final = {t[: -len(self.end)]: {} for t in self.ids if t not in within} if self.end else within
         self.followers: tuple[dict[str, dict[str, bool]], dict[str, dict[str, bool]]] = (within, final)
-        self.longest = (max(map(len, within)), max(map(len, final)))
+        #: The same by their symbols from the last, as tries; a token's pairs are under "".
+        self.suffixes: tuple[dict, dict] = ({}, {})
+        for tokens, node in zip(self.followers, self.suffixes, strict=True):
+            for token, pairs in tokens.items():
+                below = node
+                for c in reversed(token):
+                    below = below.setdefault(c, {})
+                below[""] = pairs
         self.settled = 0
         self.id_text = {t: str(i) for t, i in self.ids.items()}
         self.splits = regex.compile(pre[0]["pattern"]["Regex"].replace(r"\s", WHITE))
@@ -137,25 +144,34 @@ class WordBPE:
 
     def last_token(self, prefix: str, states: list[str], end: bool) -> str:
         """The last token of the prefix's encoding; states[i] is that of its first i symbols."""
-        n, followers = len(prefix), self.followers[end]
-        for size in range(min(n, self.longest[end]), 0, -1):
-            known = followers.get(prefix[n - size :])
+        node, at, found = self.suffixes[end], len(prefix), []
+        while at:
+            at -= 1
+            node = node.get(prefix[at])
+            if node is None:
+                break
+            known = node.get("")
             if known is not None:
-                before = states[n - size]
-                fits = known.get(before)
-                if fits is None:
-                    if self.settled >= PAIRS:
-                        for pairs in self.followers:
-                            for x in pairs.values():
-                                x.clear()
-                        self.settled = 0
-                    token = prefix[n - size :] + (self.end if end else "")
-                    fits = known[before] = self.may_follow(before, token)
-                    self.settled += 1
-                if fits:
-                    return prefix[n - size :]
+                found.append((at, known))
+        for at, known in reversed(found):
+            before = states[at]
+            fits = known.get(before)
+            if fits is None:
+                if self.settled >= PAIRS:
+                    self.forget()
+                fits = known[before] = self.may_follow(before, prefix[at:] + (self.end if end else ""))
+                self.settled += 1
+            if fits:
+                return prefix[at:]
         raise ValueError("no encoding")
 
+    def forget(self) -> None:
+        """Drop the settled pairs, of which there is one for each two tokens met."""
+        for pairs in self.followers:
+            for x in pairs.values():
+                x.clear()
+        self.settled = 0
+
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
         """(word, its tokens) of distinct words of byte symbols, by a depth-first walk of their trie."""
         trie: dict = {}
@@ -203,8 +219,7 @@ class WordBPE:
     def learn(self, words: set[str]) -> None:
         """Put the words' ids and tokens, each joined by spaces, among those remembered."""
         if len(self.words) + len(words) > WORDS:
-            self.words.clear()
-            self.shown.clear()
+            self.words, self.shown = ({w: x[w] for w in words if w in x} for x in (self.words, self.shown))
         missing = {self.in_bytes(w): w for w in words if w not in self.words}
         for symbols, tokens in self.encode_words(missing):
             self.words[missing[symbols]] = " ".join(map(self.id_text.__getitem__, tokens))
