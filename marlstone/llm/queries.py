@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, htmltext, langid, topk, toxicity, urlfilter
+from . import bpe, chat, decontam, htmltext, langid, topk, toxicity, urlfilter
 from .base import split_of, table
 
 
@@ -33,6 +33,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", F.coalesce(split_of(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -49,7 +53,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op3_url_filter, op4_chat_format, op5_toxicity, op8_html_text, op9_top_k, op10_bpe)
+    f.__name__: f for f in (op1_language, op3_url_filter, op4_chat_format, op5_toxicity, op7_decontaminate, op8_html_text, op9_top_k, op10_bpe)
 }
 
 
