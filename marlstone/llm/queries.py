@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, htmltext, langid, topk, toxicity, urlfilter
+from . import bpe, chat, decontam, htmltext, langid, substr, topk, toxicity, urlfilter
 from .base import split_of, table
 
 
@@ -17,6 +17,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(split_of(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substr.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "model_score")
 
@@ -53,9 +57,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op3_url_filter, op4_chat_format, op5_toxicity, op7_decontaminate, op8_html_text, op9_top_k, op10_bpe)
+    f.__name__: f for f in (op1_language, op2_substring_dedup, op3_url_filter, op4_chat_format, op5_toxicity, op7_decontaminate, op8_html_text, op9_top_k, op10_bpe)
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_url_filter": urlfilter.oracle(), "op4_chat_format": chat.oracle(), "op9_top_k": topk.ORACLE}
+    return {"op2_substring_dedup": substr.ORACLE, "op3_url_filter": urlfilter.oracle(), "op4_chat_format": chat.oracle(), "op9_top_k": topk.ORACLE}
