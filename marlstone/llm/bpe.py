@@ -18,6 +18,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -275,9 +276,15 @@ def tokenize(df: DataFrame, path: str, text: str = "text", digest: bool = False)
         for b in batches:
             texts = b.column(b.num_columns - 1)
             for a, z in pieces((n or 0 for n in pa.compute.binary_length(texts).to_pylist()), CHUNK):
-                found = [(len(ids.split()), sha(ids), sha(shown)) if digest else (len(ids.split()), [int(i) for i in ids.split()], shown) for ids, shown in bpe.encode_batch(texts.slice(a, z - a).to_pylist())]
                 part = b.slice(a, z - a)
-                new = [pa.array([x[i] for x in found], kind) for i, (_, _, kind) in enumerate(added)]
+                found = list(bpe.encode_batch(texts.slice(a, z - a).to_pylist()))
+                number = np.fromiter((ids.count(" ") + 1 if ids else 0 for ids, _ in found), np.int64, len(found))
+                if digest:
+                    rest = [pa.array([sha(x[i]) for x in found], pa.string()) for i in (0, 1)]
+                else:
+                    every = np.fromstring(" ".join(ids for ids, _ in found), np.int32, sep=" ") if number.any() else np.empty(0, np.int32)
+                    rest = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(number)].astype(np.int32)), pa.array(every)), pa.array([x for _, x in found], pa.string())]
+                new = [pa.array(number), *rest]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *new], names=[*kept, *(n for n, *_ in added)])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), *(f"{n} {t}" for n, t, _ in added)])

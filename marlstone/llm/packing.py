@@ -25,8 +25,8 @@ def schema(columns: int, keys: Sequence[str] = ("bucket",)) -> str:
     return ", ".join([*(f"{k} int" for k in keys), *(f"c{i} binary" for i in range(columns))])
 
 
-def packed(bucket: np.ndarray, arrays: Sequence[np.ndarray], kind: int | None = None) -> pa.RecordBatch:
-    """Rows of (bucket, kind if given, the bytes of each array's elements in the bucket), elements in order."""
+def packed(bucket: np.ndarray, arrays: Sequence[np.ndarray | None], kind: int | None = None) -> pa.RecordBatch:
+    """Rows of (bucket, kind if given, the bytes of each array's elements in the bucket), elements in order; None: no bytes."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
@@ -35,6 +35,9 @@ def packed(bucket: np.ndarray, arrays: Sequence[np.ndarray], kind: int | None =
     if kind is not None:
         columns.append(pa.array(np.full(len(first), kind, np.int32)))
     for x in arrays:
+        if x is None:
+            columns.append(pa.array([b""] * len(first), pa.binary()))
+            continue
         data = np.ascontiguousarray(x[order])
         columns.append(pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((edges * data.itemsize).astype(np.int32)), pa.py_buffer(data)]))
     return pa.RecordBatch.from_arrays(columns, names=["bucket", *(["kind"] if kind is not None else []), *(f"c{i}" for i in range(len(arrays)))])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, htmltext, langid, substr, topk, toxicity, urlfilter
+from . import bpe, chat, decontam, htmltext, jaccard, langid, substr, topk, toxicity, urlfilter
 from .base import split_of, table
 
 
@@ -37,6 +37,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", F.coalesce(split_of(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,9 +61,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op2_substring_dedup, op3_url_filter, op4_chat_format, op5_toxicity, op7_decontaminate, op8_html_text, op9_top_k, op10_bpe)
+    f.__name__: f for f in (op1_language, op2_substring_dedup, op3_url_filter, op4_chat_format, op5_toxicity, op6_jaccard_join, op7_decontaminate, op8_html_text, op9_top_k, op10_bpe)
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_substring_dedup": substr.ORACLE, "op3_url_filter": urlfilter.oracle(), "op4_chat_format": chat.oracle(), "op9_top_k": topk.ORACLE}
+    return {"op2_substring_dedup": substr.ORACLE, "op3_url_filter": urlfilter.oracle(), "op4_chat_format": chat.oracle(), "op6_jaccard_join": jaccard.oracle(), "op9_top_k": topk.ORACLE}

@@ -92,7 +92,7 @@ def candidates(docs: DataFrame, window: int) -> DataFrame:
             rest = (h // np.uint64(n))[first]
             yield packed(bucket[first], [ids[first], place[first].astype(np.uint32), rest.astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint8)], 0)
             if known.any():
-                yield packed(bucket[known], [ids[known], place[known].astype(np.uint32), np.empty(known.sum(), np.uint32), np.empty(known.sum(), np.uint8)], 1)
+                yield packed(bucket[known], [ids[known], place[known].astype(np.uint32), None, None], 1)
 
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), [t or b"" for t in raw_texts(b.column(1))]
@@ -146,7 +146,7 @@ def repeats(with_places: DataFrame, window: int) -> DataFrame:
             yield packed((columns[3][on] % np.uint64(n)).astype(np.int32), [x[on] for x in columns], 0)
             if later.any():
                 ids = columns[0][later]
-                yield packed((ids % n).astype(np.int32), [ids, columns[1][later], columns[2][later], *(np.empty(len(ids), np.uint64),) * 2], 1)
+                yield packed((ids % n).astype(np.int32), [ids, columns[1][later], columns[2][later], None, None], 1)
 
         for b in batches:
             ids, th = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -200,7 +200,8 @@ def kept_words(text: bytes, starts: np.ndarray, window: int) -> tuple[list[bytes
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, digest: bool = False) -> DataFrame:
     """Every row with its text replaced by the words that stay, joined by a blank, and n_words and n_removed.
 
-    A null text stays null. With digest, kept_sha256 instead of the text.
+    A text that loses no word, or is null, stays as it is. With digest, kept_sha256 (of the
+    words that stay, joined by a blank, in any case) instead of the text.
     """
     from .base import checkpointed
 
@@ -221,7 +222,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
             for t, starts in zip(raw_texts(b.column(len(kept))), b.column(len(kept) + 1), strict=True):
                 words, number = kept_words(t or b"", np.array(starts.as_py() or (), np.int64), window)
                 joined = b" ".join(words)
-                out.append((number, number - len(words), hashlib.sha256(joined).hexdigest() if digest else None if t is None else joined.decode()))
+                out.append((number, number - len(words), hashlib.sha256(joined).hexdigest() if digest else None if t is None else joined.decode() if len(words) < number else t.decode()))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), *(pa.array([x[i] for x in out], kind) for i, (_, _, kind) in enumerate(added))], names=[*(f"_c{i}" for i in range(len(kept))), *(n for n, *_ in added)])
 
     out = rows.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(kept)]), *(f"`{n}` {t}" for n, t, _ in added)]))
