@@ -121,7 +121,10 @@ def candidates(docs: DataFrame, window: int) -> DataFrame:
 
 
 def repeats(with_places: DataFrame, window: int) -> DataFrame:
-    """(_id, _th, start) of the windows that also start earlier, of rows (_id, _th, _text, _places)."""
+    """(_id, _th, start) of the windows that also start earlier, of rows (_id, _text, _places, _th) and any others.
+
+    Windows are told apart by 96 bits, texts of one id by 32.
+    """
     n = buckets(with_places.sparkSession)
     period, _ = cover(window)
 
@@ -149,9 +152,9 @@ def repeats(with_places: DataFrame, window: int) -> DataFrame:
                 yield packed((ids % n).astype(np.int32), [ids, columns[1][later], columns[2][later], None, None], 1)
 
         for b in batches:
-            ids, th = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            texts = raw_texts(b.column(2))
-            known = b.column(3).to_pylist()
+            ids, th = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_id", "_th"))
+            texts = raw_texts(b.column(b.schema.get_field_index("_text")))
+            known = b.column(b.schema.get_field_index("_places")).to_pylist()
             for a, z in pieces(map(len, texts), CHUNK):
                 w = words_of(texts[a:z])
                 number = np.diff(w.bounds)
@@ -166,22 +169,22 @@ def repeats(with_places: DataFrame, window: int) -> DataFrame:
                 at = np.flatnonzero(np.cumsum(marked[:-1]) > 0)
                 if len(at):
                     owner, place = w.owner()[at], places(w.bounds)[at]
-                    held.append((ids[a:z][owner], th[a:z][owner], place.astype(np.int32), windows(w.hashes, window)[at], windows(w.hashes, window, WORD_BASE_2)[at]))
+                    held.append((ids[a:z][owner], th[a:z][owner], place.astype(np.int32), windows(w.hashes, window)[at], windows(w.hashes, window, WORD_BASE_2)[at].astype(np.uint32)))
                 if sum(len(x[0]) for x in held) >= FLUSH_WINDOWS:
                     yield from flush()
         if held:
             yield from flush()
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, kind), (ids, th, start, h1, h2) in whole(unpacked(batches, (np.int64, np.int64, np.int32, np.uint64, np.uint64), 2)):
+        for (_, kind), (ids, th, start, h1, h2) in whole(unpacked(batches, (np.int64, np.int32, np.int32, np.uint64, np.uint32), 2)):
             if kind == 0:
                 order, _, later = settle(ids, th, start, h1, h2)
                 ids, th, start = (x[order[later]] for x in (ids, th, start))
             if len(ids):
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(th), pa.array(start)], names=["_id", "_th", "start"])
 
-    dealt = with_places.select("_id", "_th", "_text", "_places").mapInArrow(deal, schema(5, ("bucket", "kind")))
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(match, "_id long, _th long, start int")
+    dealt = with_places.mapInArrow(deal, schema(5, ("bucket", "kind")))
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(match, "_id long, _th int, start int")
 
 
 def kept_words(text: bytes, starts: np.ndarray, window: int) -> tuple[list[bytes], int]:
@@ -203,17 +206,16 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     A text that loses no word, or is null, stays as it is. With digest, kept_sha256 (of the
     words that stay, joined by a blank, in any case) instead of the text.
     """
-    from .base import checkpointed
-
     added = [("n_words", "long", pa.int64()), ("n_removed", "long", pa.int64()), ("kept_sha256" if digest else text, "string", pa.string())]
     kept = [c for c in df.columns if c != text and c not in {n for n, *_ in added}]
     string = F.col(f"`{text}`").cast("string")
     docs = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_ID)).alias("_id"), string.alias("_text"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(kept)))
     found = candidates(docs, window).groupBy("_id").agg(F.collect_set("place").alias("_places"))
-    with_places = docs.select("_id", "_text").join(found, "_id").withColumn("_th", F.xxhash64("_text"))
-    removed = checkpointed(repeats(with_places, window).groupBy("_id", "_th").agg(F.collect_set("start").alias("_starts")))
+    th = F.xxhash64("_text").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    # both joins take all columns of docs by _id, so that the texts are shuffled once and read twice
+    removed = repeats(docs.join(found, "_id").withColumn("_th", th), window).groupBy("_id", "_th").agg(F.collect_set("start").alias("_starts"))
     removed = removed.groupBy("_id").agg(F.collect_list(F.struct("_th", "_starts")).alias("_removed"))  # one, unless an id has several texts
-    joined = docs.join(removed, "_id", "left").withColumn("_starts", F.flatten(F.transform(F.filter("_removed", lambda x: x["_th"] == F.xxhash64("_text")), lambda x: x["_starts"])))
+    joined = docs.join(removed, "_id", "left").withColumn("_starts", F.flatten(F.transform(F.filter("_removed", lambda x: x["_th"] == th), lambda x: x["_starts"])))
     rows = joined.select(*(f"_c{i}" for i in range(len(kept))), "_text", "_starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
