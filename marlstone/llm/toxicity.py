@@ -19,6 +19,7 @@ every score is 0; of repeated labels for one id the largest counts; repeated row
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -198,10 +199,20 @@ def features(table: np.ndarray, texts: list[str | None]) -> np.ndarray:
 
 
 class Model(NamedTuple):
-    table: np.ndarray
+    table: bytes  # squeezed
     weights: np.ndarray  # and intercept
 
 
+def squeezed(table: np.ndarray) -> bytes:
+    """The table for broadcasts: most contexts were never seen, so that it shrinks to about the seen ones."""
+    return zlib.compress(table.tobytes(), 1)
+
+
+@lru_cache(maxsize=1)
+def unsqueezed(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob), np.int8)
+
+
 def calibrated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression with a little ridge, by Newton's method; the intercept last."""
     x = np.c_[x, np.ones(len(x))]
@@ -219,7 +230,7 @@ def calibrated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def scores(model: Model | None, texts: list[str | None]) -> np.ndarray:
     if model is None:
         return np.zeros(len(texts))
-    x = features(model.table, texts)
+    x = features(unsqueezed(model.table), texts)
     return 1 / (1 + np.exp(-np.clip(x @ model.weights[:-1] + model.weights[-1], -30, 30)))
 
 
@@ -237,14 +248,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     if not n[:, 1].any() or not n[:, 2].any():
         return None
     order = np.argsort(codes)
-    table = log_ratio(codes[order], n[order])
+    table = squeezed(log_ratio(codes[order], n[order]))
     del codes, n, order
     chosen = {r["_k"]: r["toxic"] for r in known.where(held).orderBy(F.xxhash64(F.col("_k").cast("string"), F.lit(12)), "_k").limit(CALIBRATE_ROWS).collect()}
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = features(shared.value, b.column(1).to_pylist())
+            x = features(unsqueezed(shared.value), b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, i]) for i in range(FEATURES))], names=["k", *(f"x{i}" for i in range(FEATURES))])
 
     sample = rows.where(F.col("_k").isin(list(chosen))).select(F.col("_k").cast("long").alias("k"), "text").mapInArrow(run, "k long, " + ", ".join(f"x{i} double" for i in range(FEATURES))).collect() if chosen else []
@@ -257,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
 
 def score(df: DataFrame, model: Model | None, text: str = "text", keep_text: bool = False, threshold: float = THRESHOLD) -> DataFrame:
     """Adds score and predicted to every row; drops the text unless asked to keep it."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # 34 MB, whatever the input
+    shared = df.sparkSession.sparkContext.broadcast(model)  # 34 MB at most, whatever the input
     kept = [c for c in df.columns if c not in ("score", "predicted") and (keep_text or c != text)]
     rows = df.select(*(F.col(f"`{c}`") for c in kept), F.col(text).cast("string").alias("_text"))
 
