@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +52,9 @@ def pieces(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
         total += n
     if at >= start:
         yield start, at + 1
+
+
+def text_pieces(column: pa.Array, most: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of rows with about so many bytes of text, and these texts, null ones empty."""
+    for a, z in pieces((n or 0 for n in pc.binary_length(column).to_pylist()), most):
+        yield a, z, [t or b"" for t in raw_texts(column.slice(a, z - a))]

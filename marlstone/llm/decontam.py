@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import pieces, raw_texts
+from .base import text_pieces
 from .textvec import FOLDED_VALUES, NOT_ALNUM, Words, windows, words_of
 
 K1, B = 1.2, 0.75
@@ -263,10 +263,9 @@ def matched(docs: DataFrame, index: Index, text: str = "text", keep_text: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            texts = [t or b"" for t in raw_texts(b.column(b.num_columns - 1))]
-            out: list[list[dict]] = [[] for _ in texts]
-            for a, z in pieces(map(len, texts), CHUNK):
-                for place, i, *values in search(own, texts[a:z]):
+            out: list[list[dict]] = [[] for _ in range(b.num_rows)]
+            for a, _, texts in text_pieces(b.column(b.num_columns - 1), CHUNK):
+                for place, i, *values in search(own, texts):
                     out[a + place].append(dict(zip(("item_id", "score", "question_overlap", "answer_overlap"), (int(own.items[i]), *values), strict=True)))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(out, kind)], names=[*kept, "_matches"])
 

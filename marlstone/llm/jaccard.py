@@ -33,16 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpointed, pieces, raw_texts
+from .base import checkpointed, raw_texts, text_pieces
 from .components import components
 from .packing import buckets, packed, schema, unpacked
 from .textvec import FOLDED_VALUES, SPACE, WORD_BASE, WORD_BASE_2, mix, windows, words_of
 
 #: Ratio of the sizes at a band's ends; parts beyond those that may differ, as a part of them.
 RATIO, SPARE = 1.55, 0.08
-CHUNK, FLUSH = 2 << 20, 1 << 18
+CHUNK, FLUSH = 1 << 20, 1 << 17
 #: Shingles in a block that is verified together, and texts in it.
-BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 20, 1024
+BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 19, 1024
 NULL_ID = -(1 << 63)
 U = np.uint64
 
@@ -173,9 +173,9 @@ def tied(docs: DataFrame, n: int, percent: int) -> DataFrame:
                         yield packed(bucket[at], [ids[at].view(U), key[at], None, None], kind)
 
         for b in batches:
-            ids, texts = b.column(0).to_numpy(zero_copy_only=False), [t or b"" for t in raw_texts(b.column(1))]
-            for a, z in pieces(map(len, texts), CHUNK):
-                owner, hashes = shingles(texts[a:z], n)
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for a, z, texts in text_pieces(b.column(1), CHUNK):
+                owner, hashes = shingles(texts, n)
                 size, h1, h2 = fingerprints(owner, hashes, z - a)
                 sets.append((ids[a:z], size, h1, h2))
                 fresh = np.zeros(z - a, bool)  # of equal sets, one in a flush

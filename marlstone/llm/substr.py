@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import pieces, raw_texts
+from .base import raw_texts, text_pieces
 from .packing import buckets, packed, schema, unpacked, whole
 from .textvec import WORD_BASE_2, windows, words_of
 
@@ -95,9 +95,9 @@ def candidates(docs: DataFrame, window: int) -> DataFrame:
                 yield packed(bucket[known], [ids[known], place[known].astype(np.uint32), None, None], 1)
 
         for b in batches:
-            ids, texts = b.column(0).to_numpy(zero_copy_only=False), [t or b"" for t in raw_texts(b.column(1))]
-            for a, z in pieces(map(len, texts), CHUNK):
-                owner, place, h = anchors(texts[a:z], window)
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for a, z, texts in text_pieces(b.column(1), CHUNK):
+                owner, place, h = anchors(texts, window)
                 held.append((ids[a:z][owner], place, h))
                 if sum(len(x[0]) for x in held) >= FLUSH:
                     yield from flush()
@@ -153,14 +153,13 @@ def repeats(with_places: DataFrame, window: int) -> DataFrame:
 
         for b in batches:
             ids, th = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_id", "_th"))
-            texts = raw_texts(b.column(b.schema.get_field_index("_text")))
-            known = b.column(b.schema.get_field_index("_places")).to_pylist()
-            for a, z in pieces(map(len, texts), CHUNK):
-                w = words_of(texts[a:z])
+            known = b.column(b.schema.get_field_index("_places"))
+            for a, z, texts in text_pieces(b.column(b.schema.get_field_index("_text")), CHUNK):
+                w = words_of(texts)
                 number = np.diff(w.bounds)
                 marked = np.zeros(len(w.hashes) + 1, np.int64)  # +1 where a candidate window may start, -1 after
-                for i, p in enumerate(known[a:z]):
-                    p = np.unique(np.array(p, np.int64))
+                for i, p in enumerate(known.slice(a, z - a)):
+                    p = np.unique(p.values.to_numpy().astype(np.int64))
                     last = number[i] - window
                     p = p[p - period + 1 <= last]
                     if len(p) and last >= 0:
