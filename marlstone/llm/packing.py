@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Buckets for each shuffle partition.
-SPREAD = 16
+SPREAD = 2
 
 
 def buckets(spark: SparkSession) -> int:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import raw_texts, text_pieces
+from .base import text_pieces, unzipped, zipped, zipped_pieces
 from .packing import buckets, packed, schema, unpacked, whole
 from .textvec import WORD_BASE_2, windows, words_of
 
@@ -121,9 +121,10 @@ def candidates(docs: DataFrame, window: int) -> DataFrame:
 
 
 def repeats(with_places: DataFrame, window: int) -> DataFrame:
-    """(_id, _th, start) of the windows that also start earlier, of rows (_id, _text, _places, _th) and any others.
+    """(_id, _th, start) of the windows that also start earlier, of rows (_id, _text, _places, _th) and any others,
+    texts zipped.
 
-    Windows are told apart by 96 bits, texts of one id by 32.
+    Windows are told apart by 96 bits, texts of one id by 31 (_th; 0 if there is one text).
     """
     n = buckets(with_places.sparkSession)
     period, _ = cover(window)
@@ -154,7 +155,7 @@ def repeats(with_places: DataFrame, window: int) -> DataFrame:
         for b in batches:
             ids, th = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_id", "_th"))
             known = b.column(b.schema.get_field_index("_places"))
-            for a, z, texts in text_pieces(b.column(b.schema.get_field_index("_text")), CHUNK):
+            for a, z, texts in zipped_pieces(b.column(b.schema.get_field_index("_text")), CHUNK):
                 w = words_of(texts)
                 number = np.diff(w.bounds)
                 marked = np.zeros(len(w.hashes) + 1, np.int64)  # +1 where a candidate window may start, -1 after
@@ -210,17 +211,21 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     string = F.col(f"`{text}`").cast("string")
     docs = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_ID)).alias("_id"), string.alias("_text"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(kept)))
     found = candidates(docs, window).groupBy("_id").agg(F.collect_set("place").alias("_places"))
-    th = F.xxhash64("_text").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
-    # both joins take all columns of docs by _id, so that the texts are shuffled once and read twice
-    removed = repeats(docs.join(found, "_id").withColumn("_th", th), window).groupBy("_id", "_th").agg(F.collect_set("start").alias("_starts"))
+    twice = docs.groupBy("_id").count().where("count > 1").select("_id", F.lit(True).alias("_twice"))
+    found = found.join(twice, "_id", "left")
+    docs = zipped(docs.withColumn("_hash", F.xxhash64("_text").bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))).where("_id IS NOT NULL")
+    # both joins take the same rows and columns of docs by _id, so that the texts are shuffled once and read twice
+    own = F.when(F.col("_twice"), F.col("_hash")).otherwise(F.lit(0))
+    removed = repeats(docs.join(found, "_id").withColumn("_th", own), window).groupBy("_id", "_th").agg(F.collect_set("start").alias("_starts"))
     removed = removed.groupBy("_id").agg(F.collect_list(F.struct("_th", "_starts")).alias("_removed"))  # one, unless an id has several texts
-    joined = docs.join(removed, "_id", "left").withColumn("_starts", F.flatten(F.transform(F.filter("_removed", lambda x: x["_th"] == th), lambda x: x["_starts"])))
+    mine = F.filter("_removed", lambda x: (x["_th"] == 0) | (x["_th"] == F.col("_hash")))
+    joined = docs.join(removed, "_id", "left").withColumn("_starts", F.flatten(F.transform(mine, lambda x: x["_starts"])))
     rows = joined.select(*(f"_c{i}" for i in range(len(kept))), "_text", "_starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, starts in zip(raw_texts(b.column(len(kept))), b.column(len(kept) + 1), strict=True):
+            for t, starts in zip(unzipped(b.column(len(kept))), b.column(len(kept) + 1), strict=True):
                 words, number = kept_words(t or b"", np.array(starts.as_py() or (), np.int64), window)
                 joined = b" ".join(words)
                 out.append((number, number - len(words), hashlib.sha256(joined).hexdigest() if digest else None if t is None else joined.decode() if len(words) < number else t.decode()))
