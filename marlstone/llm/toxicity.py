@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import pieces
+from .base import pieces, zipped, zipped_pieces
 
 ORDER, BITS = 5, 5
 SYMBOLS, CODES = 1 << BITS, 1 << (BITS * ORDER)
@@ -95,7 +95,7 @@ def _counted(codes: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counts(labelled: DataFrame) -> DataFrame:
-    """(range, codes, n) blobs of the sums over rows (text, toxic): in all texts, in ordinary and in toxic ones."""
+    """(range, codes, n) blobs of the sums over rows (text, zipped, and toxic): in all texts, in ordinary and in toxic ones."""
     blob = "range int, codes binary, n binary"
 
     def out(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -108,9 +108,9 @@ def counts(labelled: DataFrame) -> DataFrame:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
-            texts, kinds = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
-            for a, z in pieces((x or 0 for x in pa.compute.binary_length(texts).to_pylist()), CHUNK):
-                code, _, bounds = scan([t or "" for t in texts.slice(a, z - a).to_pylist()])
+            kinds = b.column(1).to_numpy(zero_copy_only=False)
+            for a, z, texts in zipped_pieces(b.column(0), CHUNK):
+                code, _, bounds = scan([t.decode() for t in texts])
                 kind = np.repeat(kinds[a:z], np.diff(bounds))
                 held += [_counted(code, 0), _counted(code[kind == 0], 1), _counted(code[kind == 1], 2)]
                 if sum(len(x) for x, _ in held) > 3 << 20:
@@ -239,7 +239,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     known = labels.where(learn & F.col(toxic).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(F.when(F.col(toxic) > 0, 1).otherwise(0)).alias("toxic"))
     held = F.pmod(F.xxhash64(F.col("_k").cast("string"), F.lit(11)), F.lit(CALIBRATE_ONE_IN)) == 0
     rows = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("text"))
-    blobs = counts(rows.join(known.where(~held), "_k", "left")).collect()  # at most 2^25 codes
+    # labels grow with the documents: the join is by sorting at every size
+    blobs = counts(zipped(rows, "text").join(known.where(~held).hint("merge"), "_k", "left")).collect()  # at most 2^25 codes
     if not blobs:
         return None
     codes = np.concatenate([np.frombuffer(b["codes"], np.uint32) for b in blobs])
