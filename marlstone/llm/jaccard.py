@@ -12,8 +12,9 @@ whose empty parts are fewer than its spare ones shares a part that is not empty
 similar text. Otherwise its empty parts count too, on both sides alike.
 
 Join and verification. Texts with an equal part of a band are tied to the smallest id that has
-it; so two similar texts are in the group of one leader. A leader's group is verified on
-whole sets, in blocks of a bounded number of shingles, each pair of blocks in a task of its own,
+it; so two similar texts are in the group of one leader. Whole sketches, with 4 to 8 bits a shingle,
+part a group first: where their distance already exceeds what the similarity allows, a pair is out, and
+a text that no other can be similar to leaves. What is left is verified on whole sets, in blocks of a bounded number of shingles, each pair of blocks in a task of its own,
 and pairs that links already join are not compared again. Links and links of equal
 sets make the components.
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpointed, raw_texts, text_pieces
+from .base import checkpointed, text_pieces, unzipped, zipped
 from .components import components
 from .packing import buckets, packed, schema, unpacked
 from .textvec import FOLDED_VALUES, SPACE, WORD_BASE, WORD_BASE_2, mix, windows, words_of
@@ -142,11 +143,60 @@ def fingerprints(owner: np.ndarray, hashes: np.ndarray, count: int) -> tuple[np.
     return size, h1, h2
 
 
-SETS, TIES = 0, 1
+def sketch_bits(size: np.ndarray) -> np.ndarray:
+    """Bits of a set's whole sketch: a power of two, 4 to 8 for each shingle."""
+    return np.left_shift(1, np.maximum(6, np.ceil(np.log2(np.maximum(size, 1) * 4)).astype(np.int64)))
+
+
+def sketches(owner: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole sketches one after the other, as bytes, and where each text's begins (in bytes)."""
+    bits = np.where(size > 0, sketch_bits(size), 0)
+    start = np.cumsum(bits) - bits
+    at = start[owner] + (mix(hashes ^ U(WORD_BASE_2)) & (bits[owner] - 1).astype(U)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=int(bits.sum())).astype(np.uint8) & 1), np.r_[start, bits.sum()] // 8
+
+
+def folded(sketch: bytes, bits: int) -> np.ndarray:
+    """The sketch of so many bits that the same set has: halves of a longer one, added."""
+    x = np.frombuffer(sketch, U)
+    while len(x) * 64 > bits:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def parted(ids: np.ndarray, size: np.ndarray, held: list[bytes], percent: int) -> np.ndarray:
+    """The smallest id of each row's part, parts being joined by pairs whose sketches allow the similarity; own id if alone.
+
+    Sets that are similar differ in at most (1 - s) / (1 + s) of the sum of their sizes, and so do sketches in bits.
+    """
+    bits = int(sketch_bits(size).min())
+    x = np.stack([folded(h, bits) for h in held])
+    order = np.argsort(ids, kind="stable")
+    low, open_rows = np.full(len(ids), -1, np.int64), np.ones(len(ids), bool)
+    for first in order.tolist():
+        if not open_rows[first]:
+            continue
+        stack, open_rows[first] = [first], False
+        while stack:
+            i = stack.pop()
+            low[i] = ids[first]
+            rest = np.flatnonzero(open_rows)
+            if not len(rest):
+                continue
+            differ = np.bitwise_count(x[rest] ^ x[i]).sum(1, dtype=np.int64)
+            near = rest[((100 + percent) * differ <= (100 - percent) * (size[rest] + size[i])) | (ids[rest] == ids[i])]
+            open_rows[near] = False
+            stack += near.tolist()
+    return low
+
+
+SETS, TIES, SKETCHES = 0, 1, 2
+#: A leader's ties are parted by their sketches up to so many; of more, all stay.
+PARTED = 4096
 
 
 def tied(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Rows (kind, a, b, c, d) of docs (_id, _text): SETS with id, size and fingerprint; TIES with member and leader."""
+    """Rows (kind, a, b, c, d, e) of docs (_id, _text): SETS with id, size and fingerprint; TIES with member and leader; SKETCHES with id, size and sketch."""
     spread = buckets(docs.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +235,15 @@ def tied(docs: DataFrame, n: int, percent: int) -> DataFrame:
                         fresh[i] = True
                 at = fresh[owner]
                 text, key = signatures(owner[at], hashes[at], z - a, bands)
+                some = np.flatnonzero(fresh)
+                number = np.cumsum(fresh) - 1
+                whole, start = sketches(number[owner[at]], hashes[at], size[some])
+                if len(some):
+                    own = ids[a:z][some]
+                    columns = [np.full(len(some), 3, np.int32), own, size[some].astype(np.int64)]
+                    cells = [pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((np.arange(len(some) + 1) * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(c))]) for c in columns[1:]]
+                    cells.append(pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(start.astype(np.int32)), pa.py_buffer(whole)]))
+                    yield pa.RecordBatch.from_arrays([pa.array((own % spread).astype(np.int32)), pa.array(columns[0]), *cells, pa.array([b""] * len(some), pa.binary())], names=["bucket", "kind", "c0", "c1", "c2", "c3"])
                 held.append((ids[a:z][text], key))
                 if sum(len(x) for x, _ in held) >= FLUSH:
                     yield from flush()
@@ -193,7 +252,7 @@ def tied(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def out(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
         columns = tuple(x.view(np.int64) for x in columns)
         columns += (np.zeros(len(columns[0]), np.int64),) * (4 - len(columns))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns)], names=["kind", *"abcd"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns), pa.nulls(len(columns[0]), pa.binary())], names=["kind", *"abcde"])
 
     def ties(ids: np.ndarray, leaders: np.ndarray) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(ids != leaders)
@@ -216,6 +275,13 @@ def tied(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 yield from ties(ids, leaders[np.cumsum(first) - 1])
 
         for (bucket, kind), (a, b, c, d) in unpacked(batches, (U, U, U, U), 2):
+            if kind == 3:  # c holds the sketches one after the other
+                size = b.view(np.int64)
+                ends = np.cumsum(sketch_bits(size)) // 8
+                blob = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(c)])
+                zero = pa.array(np.zeros(len(size), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(size), SKETCHES, np.int32)), pa.array(a.view(np.int64)), pa.array(size), zero, zero, blob], names=["kind", *"abcde"])
+                continue
             if bucket != own:
                 yield from settle()
                 own, keys, leaders = bucket, np.empty(0, U), np.empty(0, np.int64)
@@ -229,7 +295,7 @@ def tied(docs: DataFrame, n: int, percent: int) -> DataFrame:
         yield from settle()
 
     dealt = docs.select("_id", "_text").mapInArrow(deal, schema(4, ("bucket", "kind")))
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(match, "kind int, a long, b long, c long, d long")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(match, "kind int, a long, b long, c long, d long, e binary")
 
 
 def verified(ids: np.ndarray, texts: list[bytes], side: np.ndarray, leader: int, n: int, percent: int) -> list[tuple[int, int]]:
@@ -268,10 +334,43 @@ def verified(ids: np.ndarray, texts: list[bytes], side: np.ndarray, leader: int,
     return links
 
 
+def parted_ties(found: DataFrame, percent: int) -> DataFrame:
+    """(_id, leader): ties whose sketches allow the similarity, directly or over others of the leader's group."""
+    ties = found.where(F.col("kind") == TIES).select(F.col("a").alias("_id"), F.col("b").alias("leader")).distinct()
+    number = ties.groupBy("leader").agg(F.count("*").alias("members"))
+    both = ties.unionAll(number.where(F.col("members") <= PARTED).select(F.col("leader").alias("_id"), "leader")).join(number, "leader")
+    some = both.where(F.col("members") <= PARTED)
+    rows = some.join(found.where(F.col("kind") == SKETCHES).select(F.col("a").alias("_id"), F.col("b").alias("size"), F.col("e").alias("sketch")), "_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: int | None = None
+        held: list[tuple[int, int, bytes]] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            ids, size = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
+            low = parted(ids, size, [x[2] for x in held], percent)
+            at = np.flatnonzero(low != ids)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(low[at])], names=["_id", "leader"])
+
+        for b in batches:
+            for leader, *row in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if leader != last:
+                    if held:
+                        yield from close()
+                    last, held = leader, []
+                held.append(tuple(row))
+        if held:
+            yield from close()
+
+    near = rows.select("leader", "_id", "size", "sketch").repartition("leader").sortWithinPartitions("leader", "_id").mapInArrow(run, "_id long, leader long")
+    return near.unionAll(both.where(F.col("members") > PARTED).select("_id", "leader")).distinct()
+
+
 def links_of(docs: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b): links between texts with different sets, enough for the components, of docs (_id, _text) and tied()'s rows."""
     sizes = found.where(F.col("kind") == SETS).groupBy(F.col("a").alias("leader")).agg(F.max("b").alias("size"))
-    ties = found.where(F.col("kind") == TIES).select(F.col("a").alias("_id"), F.col("b").alias("leader")).distinct()
+    ties = checkpointed(parted_ties(found, percent))
     number = ties.groupBy("leader").agg((F.count("*") + 1).alias("members")).join(sizes, "leader")
     most = F.greatest(F.lit(2), F.least(F.lit(BLOCK_TEXTS), F.floor(F.lit(BLOCK_SHINGLES) / F.col("size")).cast("int")))
     number = checkpointed(number.select("leader", F.ceil(F.col("members") / most).cast("int").alias("blocks")))
@@ -284,7 +383,7 @@ def links_of(docs: DataFrame, found: DataFrame, n: int, percent: int) -> DataFra
         F.col("_own") < 0, F.flatten(F.transform(every, lambda i: F.transform(F.filter(every, lambda j: j >= i), lambda j: pair(i, j))))
     ).otherwise(F.transform(every, lambda j: pair(F.least(j, F.col("_own")), F.greatest(j, F.col("_own")))))
     rows = members.withColumn("_own", own).withColumn("_at", F.explode(at)).select("_id", "leader", "_at.*")
-    rows = rows.join(docs.select("_id", "_text"), "_id")
+    rows = rows.join(zipped(docs.select("_id", "_text")), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int, int] | None = None
@@ -299,7 +398,7 @@ def links_of(docs: DataFrame, found: DataFrame, n: int, percent: int) -> DataFra
 
         for b in batches:
             ids, leaders, i, j, own = (b.column(k).to_pylist() for k in range(5))
-            for row in zip(ids, leaders, i, j, own, raw_texts(b.column(5)), strict=True):
+            for row in zip(ids, leaders, i, j, own, unzipped(b.column(5)), strict=True):
                 if row[1:4] != last:
                     if last is not None:
                         yield from close()
