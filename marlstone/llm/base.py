@@ -88,3 +88,11 @@ def zipped_pieces(column: pa.Array, most: int) -> Iterator[tuple[int, int, list[
     """As text_pieces, for zipped() texts."""
     for a, z in pieces((3 * (n or 0) for n in pc.binary_length(column).to_pylist()), most):
         yield a, z, [t or b"" for t in unzipped(column.slice(a, z - a))]
+
+
+def free(df: DataFrame, name: str) -> str:
+    """name, or with underscores added, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

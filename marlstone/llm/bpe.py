@@ -24,10 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import pieces
+from .base import free, pieces
 
 #: Bounds of what a worker remembers: words, and pairs of tokens.
-WORDS, PAIRS = 400_000, 2_000_000
+WORDS, PAIRS = 250_000, 1_000_000
 CHUNK = 2 << 20
 #: White space as the file's expressions mean it (Unicode's property).
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -166,6 +166,10 @@ class WordBPE:
                 return prefix[at:]
         raise ValueError("no encoding")
 
+    def forget_words(self) -> None:
+        """Drop the words, which the next task may have few of."""
+        self.words, self.shown = {}, {}
+
     def forget(self) -> None:
         """Drop the settled pairs, of which there is one for each two tokens met."""
         for pairs in self.followers:
@@ -268,7 +272,7 @@ def tokenize(df: DataFrame, path: str, text: str = "text", digest: bool = False)
     kept = [f for f in df.columns if f not in {n for n, *_ in added}]
     if digest and text in kept:
         kept.remove(text)
-    rows = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").alias("_text"))
+    rows = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").alias(free(df, "_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
@@ -286,6 +290,7 @@ def tokenize(df: DataFrame, path: str, text: str = "text", digest: bool = False)
                     rest = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(number)].astype(np.int32)), pa.array(every)), pa.array([x for _, x in found], pa.string())]
                 new = [pa.array(number), *rest]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *new], names=[*kept, *(n for n, *_ in added)])
+        bpe.forget_words()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), *(f"{n} {t}" for n, t, _ in added)])
     return rows.mapInArrow(run, schema)

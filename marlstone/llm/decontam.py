@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import text_pieces
+from .base import free, text_pieces
 from .textvec import FOLDED_VALUES, NOT_ALNUM, Words, windows, words_of
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, RUN = 0.5, 0.5, 3
 #: Items in a block; of the items, the part beyond which a term is common; bytes of item text in an index.
 BLOCK, COMMON, PART_BYTES = 8, 0.2, 8 << 20
-CHUNK, LEAST_PASSAGE, LEAST_ANSWER = 2 << 20, 32, 6
+CHUNK, LEAST_PASSAGE, LEAST_ANSWER = 1 << 20, 32, 6
 
 
 class Index(NamedTuple):
@@ -253,11 +253,11 @@ def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text") -> l
 MATCHES = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
 
 
-def matched(docs: DataFrame, index: Index, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """Adds to every row _matches, the verified matches with the index's items."""
+def matched(docs: DataFrame, index: Index, name: str, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """Adds to every row, under that name, the verified matches with the index's items."""
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by PART_BYTES
     kept = [c for c in docs.columns if keep_text or c != text]
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").alias("_text"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").alias(free(docs, "_text")))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,16 +267,17 @@ def matched(docs: DataFrame, index: Index, text: str = "text", keep_text: bool =
             for a, _, texts in text_pieces(b.column(b.num_columns - 1), CHUNK):
                 for place, i, *values in search(own, texts):
                     out[a + place].append(dict(zip(("item_id", "score", "question_overlap", "answer_overlap"), (int(own.items[i]), *values), strict=True)))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(out, kind)], names=[*kept, "_matches"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(out, kind)], names=[*kept, name])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), f"_matches {MATCHES}"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), f"`{name}` {MATCHES}"])
     return rows.mapInArrow(run, schema)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document and item that it holds: key, item_id, score, question_overlap, answer_overlap."""
-    own = docs.select(F.col(key), F.col(text))
-    found = [matched(own, index, text).where(F.size("_matches") > 0).select(key, F.inline("_matches")) for index in indexes(items)]
+    own = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    name = free(own, "_matches")
+    found = [matched(own, index, name, text).where(F.size(name) > 0).select(f"`{key}`", F.inline(name)) for index in indexes(items)]
     out = found[0] if found else docs.select(F.col(key)).limit(0).selectExpr(f"`{key}`", f"inline(CAST(array() AS {MATCHES}))")
     for more in found[1:]:
         out = out.unionAll(more)
@@ -285,7 +286,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows that hold no item, with their columns as they are."""
-    out = docs
+    out, name = docs, free(docs, "_matches")
     for index in indexes(items):
-        out = matched(out, index, text, keep_text=True).where(F.size("_matches") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+        out = matched(out, index, name, text, keep_text=True).where(F.size(name) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
     return out

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpointed, text_pieces, unzipped, zipped
+from .base import checkpointed, free, text_pieces, unzipped, zipped
 from .components import components
 from .packing import buckets, packed, schema, unpacked
 from .textvec import FOLDED_VALUES, SPACE, WORD_BASE, WORD_BASE_2, mix, windows, words_of
@@ -430,8 +430,9 @@ def components_of(df: DataFrame, key: str = "doc_id", text: str = "text", n: int
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, that of the smallest id, with the columns as they are; repeated rows of an id count as one."""
     out = classes(df, key, text, n, percent)
-    gone = out.where("_id <> component").select("_id").distinct()
-    rows = df.withColumn("_id", F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_ID))).join(gone, "_id", "left_anti").drop("_id")
+    own = free(df, "_id")
+    gone = out.where("_id <> component").select(F.col("_id").alias(own)).distinct()
+    rows = df.withColumn(own, F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_ID))).join(gone, own, "left_anti")
     return rows.select(*(F.col(f"`{c}`") for c in df.columns))
 
 

@@ -24,13 +24,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import pieces, raw_texts
+from .base import free, pieces, raw_texts
 
 WINDOW, WIDTHS, FILTERS, BYTE_DIMS = 256, (2, 3, 4), 8, 8
 #: Bounds of the sample that is learned from: rows, and windows of a row.
 TRAIN_ROWS, TRAIN_WINDOWS = 4000, 3
 EPOCHS, BATCH, SEED = 6, 128, 7
-CHUNK, AT_ONCE = 4 << 20, 256
+CHUNK, AT_ONCE = 1 << 20, 256
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -170,7 +170,7 @@ def identify(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "tex
     model = fit(df.where(learn), key, text, label)
     shared = df.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the input
     kept = [c for c in df.columns if c not in (text, label, "lang_pred", "score")]
-    rows = df.select(*(F.col(f"`{c}`") for c in kept), F.col(text).cast("string").alias("_text"))
+    rows = df.select(*(F.col(f"`{c}`") for c in kept), F.col(text).cast("string").alias(free(df, "_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

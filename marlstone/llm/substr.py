@@ -33,7 +33,7 @@ from .textvec import WORD_BASE_2, windows, words_of
 WINDOW = 20
 #: Period and cover: each distance modulo the period is the difference of two members.
 PERIODS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 3: (0, 1)}
-CHUNK, FLUSH, FLUSH_WINDOWS = 2 << 20, 1 << 18, 1 << 17
+CHUNK, FLUSH, FLUSH_WINDOWS = 1 << 20, 1 << 18, 1 << 17
 NULL_ID = -(1 << 63)
 
 

@@ -7,7 +7,6 @@ in the same way.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -37,23 +36,25 @@ NOT_ALNUM = np.ones(256, bool)
 NOT_ALNUM[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(b: int) -> np.ndarray:
-        out = np.full(size, b, U)
-        out[0] = 1
-        return np.cumprod(out, dtype=U)
+_KEPT: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Powers that are kept between calls, for each base; longer runs are made anew.
+KEEP, STEP = 3 << 19, 1 << 18
 
-    return run(base), run(pow(base, -1, 1 << 64))
+
+def _run(base: int, size: int) -> np.ndarray:
+    out = np.full(size, base, U)
+    out[:1] = 1
+    return np.cumprod(out, dtype=U)
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^0 .. base^(n-1) and their inverses, modulo 2^64."""
-    size = 1 << max(16, (max(n, 1) - 1).bit_length())
-    if size > 1 << 24:  # a very long text: not kept
-        up, down = _powers.__wrapped__(base, n)
-        return up, down
-    up, down = _powers(base, size)
+    if n > KEEP:
+        return _run(base, n), _run(pow(base, -1, 1 << 64), n)
+    if base not in _KEPT or len(_KEPT[base][0]) < n:
+        size = -(-max(n, 1) // STEP) * STEP
+        _KEPT[base] = (_run(base, size), _run(pow(base, -1, 1 << 64), size))
+    up, down = _KEPT[base]
     return up[:n], down[:n]
 
 

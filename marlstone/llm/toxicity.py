@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import pieces, zipped, zipped_pieces
+from .base import free, pieces, zipped, zipped_pieces
 
 ORDER, BITS = 5, 5
 SYMBOLS, CODES = 1 << BITS, 1 << (BITS * ORDER)
@@ -37,7 +37,7 @@ SYMBOLS, CODES = 1 << BITS, 1 << (BITS * ORDER)
 RANGES, CALIBRATE_ROWS, CALIBRATE_ONE_IN = 64, 4000, 5
 #: Nats by which an expression must exceed the ordinary level; steps of the table.
 LEVEL, STEP = 4.0, 0.05
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 THRESHOLD = 0.7
 LATIN = 0x3000
 
@@ -83,13 +83,13 @@ def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     order = np.argsort(codes, kind="stable")
     codes, counts = codes[order], counts[order]
     first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.empty(0, np.int64)
-    return codes[first], np.add.reduceat(counts, first, axis=0) if len(codes) else counts
+    return codes[first], np.add.reduceat(counts, first, axis=0, dtype=counts.dtype) if len(codes) else counts
 
 
 def _counted(codes: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray]:
     codes = np.sort(codes)
     first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.empty(0, np.int64)
-    out = np.zeros((len(first), 3), np.int64)
+    out = np.zeros((len(first), 3), np.int32)
     out[:, column] = np.diff(np.r_[first, len(codes)])
     return codes[first], out
 
@@ -103,7 +103,7 @@ def counts(labelled: DataFrame) -> DataFrame:
         for i in range(RANGES):
             if edges[i] < edges[i + 1]:
                 part = slice(edges[i], edges[i + 1])
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([codes[part].astype(np.uint32).tobytes()], pa.binary()), pa.array([n[part].tobytes()], pa.binary())], names=["range", "codes", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([codes[part].astype(np.uint32).tobytes()], pa.binary()), pa.array([n[part].astype(np.int64).tobytes()], pa.binary())], names=["range", "codes", "n"])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -113,7 +113,7 @@ def counts(labelled: DataFrame) -> DataFrame:
                 code, _, bounds = scan([t.decode() for t in texts])
                 kind = np.repeat(kinds[a:z], np.diff(bounds))
                 held += [_counted(code, 0), _counted(code[kind == 0], 1), _counted(code[kind == 1], 2)]
-                if sum(len(x) for x, _ in held) > 3 << 20:
+                if sum(len(x) for x, _ in held) > 1 << 20:
                     held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
         if held:
             yield from out(*_summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
@@ -123,7 +123,7 @@ def counts(labelled: DataFrame) -> DataFrame:
         for b in batches:
             for codes, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 held.append((np.frombuffer(codes, np.uint32), np.frombuffer(n, np.int64).reshape(-1, 3)))
-                if sum(len(x) for x, _ in held) > 3 << 20:
+                if sum(len(x) for x, _ in held) > 1 << 20:
                     held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
         if held:
             yield from out(*_summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
@@ -271,7 +271,7 @@ def score(df: DataFrame, model: Model | None, text: str = "text", keep_text: boo
     """Adds score and predicted to every row; drops the text unless asked to keep it."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # 34 MB at most, whatever the input
     kept = [c for c in df.columns if c not in ("score", "predicted") and (keep_text or c != text)]
-    rows = df.select(*(F.col(f"`{c}`") for c in kept), F.col(text).cast("string").alias("_text"))
+    rows = df.select(*(F.col(f"`{c}`") for c in kept), F.col(text).cast("string").alias(free(df, "_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
