@@ -64,7 +64,7 @@ class Engine:
     """Runs scripts; tables are files under base (a folder or a URI that Spark reads)."""
 
     def __init__(self, spark: SparkSession, base: str = ".", stdin: BinaryIO | None = None, **properties: Any):
-        self.spark, self.base = spark, base
+        self.spark, self.base = spark, base if is_uri(base) else os.path.abspath(base)
         self.properties = Properties()
         self.stdin = Spool(stdin)
         self.imported: dict[str, str] = {}
@@ -190,7 +190,7 @@ class Engine:
     def reset(self) -> None:
         """Forget the script, its variables and its temporary tables."""
         self.statements, self.scope, self.events, self.current = (), Scope(), None, None
-        self.written = {k: v for k, v in self.written.items() if not os.path.basename(k).startswith("#")}
+        self.written = {}
         self.stdin.reset()
         if self.work:
             shutil.rmtree(self.work, ignore_errors=True)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import csv
 import io
 import os
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -73,7 +74,7 @@ def guess_delimiter(line: str) -> str:
 
 
 def _csv_options(layout: Layout, options: Options, path: str) -> dict[str, str]:
-    out = {"sep": layout.delimiter, "header": str(layout.header).lower(), "nullValue": "\u0001", "emptyValue": "", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "unescapedQuoteHandling": "STOP_AT_DELIMITER"}
+    out = {"sep": layout.delimiter, "header": str(layout.header).lower(), "nullValue": "\u0001", "emptyValue": "", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "unescapedQuoteHandling": "STOP_AT_DELIMITER", "columnNameOfCorruptRecord": "_bad"}
     if options.in_std == "NONE":
         out |= {"quote": "\u0000", "escape": "\u0000"}
     elif options.in_std == "WEAK":
@@ -85,7 +86,15 @@ def _csv_options(layout: Layout, options: Options, path: str) -> dict[str, str]:
 
 
 def _strings(n: int) -> T.StructType:
-    return T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n)])
+    """Fields c0.., and _bad, which has the whole record if it has more or fewer fields."""
+    return T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n)] + [T.StructField("_bad", T.StringType())])
+
+
+def _cells(n: int, delimiter: str, at: str = "") -> list[Column]:
+    """An empty field is an empty string; only one that a short record lacks is null. (Spark reads both as null.)"""
+    bad = F.col(f"{at}_bad")
+    there = F.size(F.split(bad, re.escape(delimiter)))
+    return [F.when(F.col(f"{at}c{i}").isNotNull(), F.col(f"{at}c{i}")).when(bad.isNull() | (there > i), F.lit("")).alias(f"c{i}") for i in range(n)]
 
 
 def read(spark: SparkSession, path: str, schema: FileSchema | None, options: Options) -> Table:
@@ -110,9 +119,9 @@ def read(spark: SparkSession, path: str, schema: FileSchema | None, options: Opt
         text = spark.read.text(path).withColumn("_n", F.monotonically_increasing_id())
         text = text.where("_n > 0") if layout.header else text  # the first line is the first row of the first split
         parsed = F.from_csv("value", _strings(len(names)).simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {k: v for k, v in _csv_options(layout, options, path).items() if k not in ("header", "multiLine")})
-        return text.select(parsed.alias("_p"), F.col("value").alias("_rec")).select("_p.*", "_rec")
+        return text.select(parsed.alias("_p"), F.col("value").alias("_rec")).select(*_cells(len(names), delimiter, "_p."), "_rec")
 
-    return Table(reader.csv(path), names, [STRING] * len(names), layout, path, None, raw)
+    return Table(reader.csv(path).select(*_cells(len(names), delimiter)), names, [STRING] * len(names), layout, path, None, raw)
 
 
 def read_fixed(spark: SparkSession, path: str, schema: FileSchema) -> Table:
