@@ -24,13 +24,29 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import free, pieces
+from .base import free, pieces, tidy
 
 #: Bounds of what a worker remembers: words, and pairs of tokens.
-WORDS, PAIRS = 250_000, 1_000_000
+WORDS, PAIRS = 200_000, 500_000
 CHUNK = 2 << 20
 #: White space as the file's expressions mean it (Unicode's property).
 WHITE = r"\t-\r \x85\xa0  -     　"
+#: Characters that this Python's tables call letters and numbers and the library's older ones do not.
+LATER_LETTERS = (
+    r"\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7"
+    r"\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011df1\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff3\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+    r"\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff"
+    r"\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead"
+    r"\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+LATER_NUMBERS = r"\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ff4-\U00016ff6"
+#: Characters that the library lower-cases and this Python does not: first, last, distance.
+LATER_LOWER = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561),
+    (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27),
+)
+SELDOM = regex.compile("[Σ" + "".join(f"{chr(a)}-{chr(z)}" for a, z, _ in LATER_LOWER) + "]")
+LOWER = {c: c + d for a, z, d in LATER_LOWER for c in range(a, z + 1)} | {ord("Σ"): "σ"}
 
 
 def byte_symbols() -> list[str]:
@@ -59,7 +75,7 @@ class WordBPE:
         self.made = {a + b: (a, b) for a, b in self.ranks}
         if len(self.made) < len(self.ranks):
             raise ValueError("two merges make the same token")
-        self.spines: tuple[dict[str, list[tuple[str, int]]], dict[str, list[tuple[str, int]]]] = ({}, {})
+        self.spines: tuple[dict[str, tuple], dict[str, tuple]] = ({}, {})
         self.names = {i: t for t, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names.update({i: t for t, i in self.special.items()})
@@ -77,7 +93,11 @@ class WordBPE:
                 below[""] = pairs
         self.settled = 0
         self.id_text = {t: str(i) for t, i in self.ids.items()}
-        self.splits = regex.compile(pre[0]["pattern"]["Regex"].replace(r"\s", WHITE))
+        pattern = pre[0]["pattern"]["Regex"].replace(r"\s", WHITE)
+        self.splits = regex.compile(pattern)
+        #: The same for texts with characters that the tables differ in.
+        self.later = regex.compile(f"[{LATER_LETTERS}{LATER_NUMBERS}]")
+        self.later_splits = regex.compile("(?V1)" + pattern.replace(r"\p{L}", rf"[\p{{L}}--[{LATER_LETTERS}]]").replace(r"\p{N}", rf"[\p{{N}}--[{LATER_NUMBERS}]]"))
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.table = {b: c for b, c in enumerate(byte_symbols())}
         self.plain = {b for b, c in self.table.items() if chr(b) == c}
@@ -102,17 +122,17 @@ class WordBPE:
             return [*body[:-1], body[-1] + self.end]
         return list(token)
 
-    def spine(self, token: str, side: int) -> list[tuple[str, int]]:
-        """From the outermost symbol on a side (0 left, 1 right) to the token: each part, and the rank that joins it to more."""
+    def spine(self, token: str, side: int) -> tuple[tuple[str, ...], tuple[int, ...]]:
+        """From the outermost symbol on a side (0 left, 1 right) to the token: the parts, and the ranks that join each to more."""
         known = self.spines[side].get(token)
         if known is None:
-            known, part, rank = [], token, len(self.ranks)
+            parts, ranks, part, rank = [], [], token, len(self.ranks)
             while part:
-                known.append((part, rank))
+                parts.append(part)
+                ranks.append(rank)
                 pair = self.made.get(part)
                 part, rank = (pair[side], self.ranks[pair]) if pair else ("", 0)
-            known.reverse()
-            self.spines[side][token] = known
+            known = self.spines[side][token] = (tuple(reversed(parts)), tuple(reversed(ranks)))
         return known
 
     def may_follow(self, before: str, token: str) -> bool:
@@ -130,18 +150,18 @@ class WordBPE:
             alone[""] = self.may_follow("", token)
         if not alone[""]:
             return False
-        left, right = iter(self.spine(before, 1)), iter(self.spine(token, 0))
-        (a, a_rank), (b, b_rank), never = next(left), next(right), len(self.ranks)
+        (left, left_ranks), (right, right_ranks), never = self.spine(before, 1), self.spine(token, 0), len(self.ranks)
+        i = j = 0
         while True:
-            rank = self.ranks.get((a, b), never)
+            a_rank, b_rank, rank = left_ranks[i], right_ranks[j], self.ranks.get((left[i], right[j]), never)
             if rank < a_rank and rank <= b_rank and rank < never:
                 return False
             if a_rank == never and b_rank == never:
                 return True
             if a_rank <= b_rank:
-                a, a_rank = next(left)
+                i += 1
             else:
-                b, b_rank = next(right)
+                j += 1
 
     def last_token(self, prefix: str, states: list[str], end: bool) -> str:
         """The last token of the prefix's encoding; states[i] is that of its first i symbols."""
@@ -167,8 +187,10 @@ class WordBPE:
         raise ValueError("no encoding")
 
     def forget_words(self) -> None:
-        """Drop the words, which the next task may have few of."""
+        """Drop the words, which the next task may have few of, and the tokens' spines."""
         self.words, self.shown = {}, {}
+        for x in self.spines:
+            x.clear()
 
     def forget(self) -> None:
         """Drop the settled pairs, of which there is one for each two tokens met."""
@@ -215,7 +237,9 @@ class WordBPE:
     def split(self, text: str) -> list[str]:
         """The words of a text without special tokens, lower-cased, not yet in byte symbols."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = unicodedata.normalize("NFC", text).translate(LOWER) if SELDOM.search(text) else unicodedata.normalize("NFC", text)
+            lowered = text.lower()
+            return (self.later_splits if self.later.search(lowered) else self.splits).findall(lowered)
         return self.splits.findall(text.lower())
 
     def in_bytes(self, word: str) -> str:
@@ -291,6 +315,7 @@ def tokenize(df: DataFrame, path: str, text: str = "text", digest: bool = False)
                 new = [pa.array(number), *rest]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *new], names=[*kept, *(n for n, *_ in added)])
         bpe.forget_words()
+        tidy()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), *(f"{n} {t}" for n, t, _ in added)])
     return rows.mapInArrow(run, schema)

@@ -164,35 +164,101 @@ def folded(sketch: bytes, bits: int) -> np.ndarray:
     return x
 
 
+def _allowed(x: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """For pairs of rows, whether their sketches differ in no more bits than sets of that similarity can."""
+    out = np.empty(len(i), bool)
+    step = max(1, (1 << 22) // x.shape[1])
+    for a in range(0, len(i), step):
+        own, other = i[a : a + step], j[a : a + step]
+        differ = np.bitwise_count(x[own] ^ x[other]).sum(1, dtype=np.int64)
+        out[a : a + step] = (100 + percent) * differ <= (100 - percent) * (size[own] + size[other])
+    return out
+
+
+def _keyed(x: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of the sketches' own parts, for the pigeonhole principle once more: rows that may be joined share a key."""
+    bits = x.shape[1] * 64
+    most = int(size.max()) * (100 - percent) // percent
+    parts = min(bits, most + 1 + math.ceil(most * SPARE))
+    starts = np.arange(parts) * bits // parts
+    weights = mix(np.arange(1, bits + 1, dtype=U) * U(WORD_BASE))
+    keys = np.empty((len(x), parts), U)
+    step = max(1, (1 << 21) // bits)
+    for a in range(0, len(x), step):
+        on = np.unpackbits(x[a : a + step].view(np.uint8), axis=1, bitorder="little")
+        keys[a : a + step] = np.bitwise_xor.reduceat(np.where(on, weights, U(0)), starts, axis=1)
+    empty = keys == 0
+    # an empty part says nothing while there are fewer of them than parts that must agree
+    used = ~empty | (empty.sum(1) >= parts - most)[:, None]
+    keys = mix(keys + np.arange(parts, dtype=U) * U(WORD_BASE_2))
+    row, part = np.nonzero(used)
+    return keys[row, part], row
+
+
 def parted(ids: np.ndarray, size: np.ndarray, held: list[bytes], percent: int) -> np.ndarray:
     """The smallest id of each row's part, parts being joined by pairs whose sketches allow the similarity; own id if alone.
 
-    Sets that are similar differ in at most (1 - s) / (1 + s) of the sum of their sizes, and so do sketches in bits.
+    Sets that are similar differ in at most (1 - s) / (1 + s) of the sum of their sizes, and so do sketches
+    in bits. Of many rows, only those are compared that share a part of their sketches.
     """
     bits = int(sketch_bits(size).min())
     x = np.stack([folded(h, bits) for h in held])
-    order = np.argsort(ids, kind="stable")
-    low, open_rows = np.full(len(ids), -1, np.int64), np.ones(len(ids), bool)
-    for first in order.tolist():
-        if not open_rows[first]:
-            continue
-        stack, open_rows[first] = [first], False
-        while stack:
-            i = stack.pop()
-            low[i] = ids[first]
-            rest = np.flatnonzero(open_rows)
-            if not len(rest):
-                continue
-            differ = np.bitwise_count(x[rest] ^ x[i]).sum(1, dtype=np.int64)
-            near = rest[((100 + percent) * differ <= (100 - percent) * (size[rest] + size[i])) | (ids[rest] == ids[i])]
-            open_rows[near] = False
-            stack += near.tolist()
-    return low
+    root = np.unique(ids, return_index=True)[1][np.unique(ids, return_inverse=True)[1]]  # rows of one id are one
+
+    members = {r: np.flatnonzero(root == r).tolist() for r in np.flatnonzero(np.bincount(root) > 1).tolist()}
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = int(root[a]), int(root[b])
+            if a != b:  # the smaller part takes the larger one's root
+                own, other = members.pop(a, [a]), members.pop(b, [b])
+                if len(own) < len(other):
+                    a, own, other = b, other, own
+                root[other] = a
+                own += other
+                members[a] = own
+
+    def compare(rows: np.ndarray) -> None:
+        """Join all of some rows that sketches allow, one row after the other against those not joined yet."""
+        rest = rows
+        while len(rest) > 1:
+            others = rest[1:]
+            apart = others[root[others] != root[rest[0]]]
+            near = apart[_allowed(x, size, np.full(len(apart), rest[0]), apart, percent)]
+            join(np.full(len(near), rest[0]), near)
+            rest = others
+
+    if len(ids) <= FEW:
+        compare(np.arange(len(ids)))
+    else:
+        key, row = _keyed(x, size, percent)
+        order = np.lexsort((row, key))
+        key, row = key[order], row[order]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        number = np.diff(np.r_[start, len(key)])
+        pairs = [np.empty(0, np.int64)]
+        for n in range(2, FEW + 1):  # groups of n rows: all their pairs, each compared once
+            at = start[number == n]
+            i, j = np.triu_indices(n, 1)
+            if len(at):
+                pairs.append((row[at[:, None] + i] * len(ids) + row[at[:, None] + j]).ravel())
+        for a, n in zip(start[number > FEW].tolist(), number[number > FEW].tolist(), strict=True):
+            own = row[a : a + n]
+            if (root[own] != root[own[0]]).any():
+                compare(own)
+        i, j = np.divmod(np.unique(np.concatenate(pairs)), len(ids))
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        near = _allowed(x, size, i, j, percent)
+        join(i[near], j[near])
+    low = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(low, root, ids)
+    return low[root]
 
 
 SETS, TIES, SKETCHES = 0, 1, 2
-#: A leader's ties are parted by their sketches up to so many; of more, all stay.
-PARTED = 4096
+#: A leader's ties are parted by their sketches up to so many shingles in all; of more, all stay. Up to FEW rows are compared pair by pair.
+PARTED, FEW = 1 << 26, 16
 
 
 def tied(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -214,6 +280,8 @@ def tied(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 ids, key = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
                 seen.clear()
+                if not len(ids):
+                    return
                 order = np.lexsort((ids, key))
                 ids, key = ids[order], key[order]
                 first = np.r_[True, key[1:] != key[:-1]]
@@ -337,9 +405,10 @@ def verified(ids: np.ndarray, texts: list[bytes], side: np.ndarray, leader: int,
 def parted_ties(found: DataFrame, percent: int) -> DataFrame:
     """(_id, leader): ties whose sketches allow the similarity, directly or over others of the leader's group."""
     ties = found.where(F.col("kind") == TIES).select(F.col("a").alias("_id"), F.col("b").alias("leader")).distinct()
-    number = ties.groupBy("leader").agg(F.count("*").alias("members"))
-    both = ties.unionAll(number.where(F.col("members") <= PARTED).select(F.col("leader").alias("_id"), "leader")).join(number, "leader")
-    some = both.where(F.col("members") <= PARTED)
+    sizes = found.where(F.col("kind") == SETS).groupBy(F.col("a").alias("leader")).agg(F.max("b").alias("size"))
+    number = ties.groupBy("leader").agg(F.count("*").alias("members")).join(sizes, "leader").select("leader", (F.col("members") * F.col("size") <= PARTED).alias("held"))
+    both = ties.unionAll(number.where("held").select(F.col("leader").alias("_id"), "leader")).join(number, "leader")
+    some = both.where("held").select("_id", "leader")
     rows = some.join(found.where(F.col("kind") == SKETCHES).select(F.col("a").alias("_id"), F.col("b").alias("size"), F.col("e").alias("sketch")), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +433,7 @@ def parted_ties(found: DataFrame, percent: int) -> DataFrame:
             yield from close()
 
     near = rows.select("leader", "_id", "size", "sketch").repartition("leader").sortWithinPartitions("leader", "_id").mapInArrow(run, "_id long, leader long")
-    return near.unionAll(both.where(F.col("members") > PARTED).select("_id", "leader")).distinct()
+    return near.unionAll(both.where("NOT held").select("_id", "leader")).distinct()
 
 
 def links_of(docs: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
