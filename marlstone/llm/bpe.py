@@ -12,6 +12,7 @@ special tokens' strings in a text become their ids, as the tokenizers library do
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -28,7 +29,7 @@ from .base import free, pieces, tidy
 
 #: Bounds of what a worker remembers: words, and pairs of tokens.
 WORDS, PAIRS = 200_000, 500_000
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: White space as the file's expressions mean it (Unicode's property).
 WHITE = r"\t-\r \x85\xa0  -     　"
 #: Characters that this Python's tables call letters and numbers and the library's older ones do not.
@@ -186,12 +187,6 @@ class WordBPE:
                 return prefix[at:]
         raise ValueError("no encoding")
 
-    def forget_words(self) -> None:
-        """Drop the words, which the next task may have few of, and the tokens' spines."""
-        self.words, self.shown = {}, {}
-        for x in self.spines:
-            x.clear()
-
     def forget(self) -> None:
         """Drop the settled pairs, of which there is one for each two tokens met."""
         for pairs in self.followers:
@@ -314,7 +309,10 @@ def tokenize(df: DataFrame, path: str, text: str = "text", digest: bool = False)
                     rest = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(number)].astype(np.int32)), pa.array(every)), pa.array([x for _, x in found], pa.string())]
                 new = [pa.array(number), *rest]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *new], names=[*kept, *(n for n, *_ in added)])
-        bpe.forget_words()
+        # a worker lives on after the task: what was learned would stay beside what other stages need
+        loaded.cache_clear()
+        del bpe
+        gc.collect()
         tidy()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), *(f"{n} {t}" for n, t, _ in added)])

@@ -171,7 +171,7 @@ def _allowed(x: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, perc
     for a in range(0, len(i), step):
         own, other = i[a : a + step], j[a : a + step]
         differ = np.bitwise_count(x[own] ^ x[other]).sum(1, dtype=np.int64)
-        out[a : a + step] = (100 + percent) * differ <= (100 - percent) * (size[own] + size[other])
+        out[a : a + step] = ((100 + percent) * differ <= (100 - percent) * (size[own] + size[other])) & (100 * np.minimum(size[own], size[other]) >= percent * np.maximum(size[own], size[other]))
     return out
 
 
@@ -219,14 +219,15 @@ def parted(ids: np.ndarray, size: np.ndarray, held: list[bytes], percent: int) -
                 members[a] = own
 
     def compare(rows: np.ndarray) -> None:
-        """Join all of some rows that sketches allow, one row after the other against those not joined yet."""
-        rest = rows
-        while len(rest) > 1:
-            others = rest[1:]
-            apart = others[root[others] != root[rest[0]]]
-            near = apart[_allowed(x, size, np.full(len(apart), rest[0]), apart, percent)]
-            join(np.full(len(near), rest[0]), near)
-            rest = others
+        """Join all of some rows that sketches allow: each, by size, against those up to the largest size that it may meet."""
+        rows = rows[np.argsort(size[rows], kind="stable")]
+        ends = np.searchsorted(size[rows] * percent, size[rows] * 100, side="right")
+        for at, end in enumerate(ends.tolist()):
+            others = rows[at + 1 : end]
+            apart = others[root[others] != root[rows[at]]]
+            if len(apart):
+                near = apart[_allowed(x, size, np.full(len(apart), rows[at]), apart, percent)]
+                join(np.full(len(near), rows[at]), near)
 
     if len(ids) <= FEW:
         compare(np.arange(len(ids)))
@@ -236,21 +237,24 @@ def parted(ids: np.ndarray, size: np.ndarray, held: list[bytes], percent: int) -
         key, row = key[order], row[order]
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         number = np.diff(np.r_[start, len(key)])
-        pairs = [np.empty(0, np.int64)]
-        for n in range(2, FEW + 1):  # groups of n rows: all their pairs, each compared once
-            at = start[number == n]
-            i, j = np.triu_indices(n, 1)
-            if len(at):
-                pairs.append((row[at[:, None] + i] * len(ids) + row[at[:, None] + j]).ravel())
-        for a, n in zip(start[number > FEW].tolist(), number[number > FEW].tolist(), strict=True):
-            own = row[a : a + n]
-            if (root[own] != root[own[0]]).any():
-                compare(own)
-        i, j = np.divmod(np.unique(np.concatenate(pairs)), len(ids))
-        apart = root[i] != root[j]
-        i, j = i[apart], j[apart]
-        near = _allowed(x, size, i, j, percent)
-        join(i[near], j[near])
+        if (number.astype(float) ** 2).sum() >= float(len(ids)) ** 2:  # the parts are shared by too many: all pairs are fewer
+            compare(np.arange(len(ids)))
+        else:
+            pairs = [np.empty(0, np.int64)]
+            for n in range(2, FEW + 1):  # groups of n rows: all their pairs, each compared once
+                at = start[number == n]
+                i, j = np.triu_indices(n, 1)
+                if len(at):
+                    pairs.append((row[at[:, None] + i] * len(ids) + row[at[:, None] + j]).ravel())
+            for a, n in zip(start[number > FEW].tolist(), number[number > FEW].tolist(), strict=True):
+                own = row[a : a + n]
+                if (root[own] != root[own[0]]).any():
+                    compare(own)
+            i, j = np.divmod(np.unique(np.concatenate(pairs)), len(ids))
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            near = _allowed(x, size, i, j, percent)
+            join(i[near], j[near])
     low = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(low, root, ids)
     return low[root]
