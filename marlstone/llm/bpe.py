@@ -29,7 +29,7 @@ from .base import free, pieces, tidy
 
 #: Bounds of what a worker remembers: words, and pairs of tokens.
 WORDS, PAIRS = 200_000, 500_000
-CHUNK = 1 << 20
+CHUNK = 2 << 20
 #: White space as the file's expressions mean it (Unicode's property).
 WHITE = r"\t-\r \x85\xa0  -     　"
 #: Characters that this Python's tables call letters and numbers and the library's older ones do not.
@@ -76,7 +76,6 @@ class WordBPE:
         self.made = {a + b: (a, b) for a, b in self.ranks}
         if len(self.made) < len(self.ranks):
             raise ValueError("two merges make the same token")
-        self.spines: tuple[dict[str, tuple], dict[str, tuple]] = ({}, {})
         self.names = {i: t for t, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names.update({i: t for t, i in self.special.items()})
@@ -123,18 +122,15 @@ class WordBPE:
             return [*body[:-1], body[-1] + self.end]
         return list(token)
 
-    def spine(self, token: str, side: int) -> tuple[tuple[str, ...], tuple[int, ...]]:
+    def spine(self, token: str, side: int) -> tuple[list[str], list[int]]:
         """From the outermost symbol on a side (0 left, 1 right) to the token: the parts, and the ranks that join each to more."""
-        known = self.spines[side].get(token)
-        if known is None:
-            parts, ranks, part, rank = [], [], token, len(self.ranks)
-            while part:
-                parts.append(part)
-                ranks.append(rank)
-                pair = self.made.get(part)
-                part, rank = (pair[side], self.ranks[pair]) if pair else ("", 0)
-            known = self.spines[side][token] = (tuple(reversed(parts)), tuple(reversed(ranks)))
-        return known
+        parts, ranks, part, rank = [], [], token, len(self.ranks)
+        while part:
+            parts.append(part)
+            ranks.append(rank)
+            pair = self.made.get(part)
+            part, rank = (pair[side], self.ranks[pair]) if pair else ("", 0)
+        return parts[::-1], ranks[::-1]
 
     def may_follow(self, before: str, token: str) -> bool:
         """Whether the encoding of the two tokens' joined symbols is just these two; before may be empty.
@@ -309,9 +305,8 @@ def tokenize(df: DataFrame, path: str, text: str = "text", digest: bool = False)
                     rest = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(number)].astype(np.int32)), pa.array(every)), pa.array([x for _, x in found], pa.string())]
                 new = [pa.array(number), *rest]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *new], names=[*kept, *(n for n, *_ in added)])
-        # a worker lives on after the task: what was learned would stay beside what other stages need
-        loaded.cache_clear()
-        del bpe
+        # a worker lives on after the task, beside what other stages need: the settled pairs stay, the words go
+        bpe.words, bpe.shown = {}, {}
         gc.collect()
         tidy()
 

@@ -7,9 +7,10 @@ shingles are to reach the similarity s, they differ in at most (1 - s) / s of th
 that, some part is equal. Sizes fall into bands; a band's number of parts follows from its
 largest size, and a text is also sketched for the band below if its size may meet texts of that.
 
-A part without shingles says nothing, so it is left out where enough parts remain: a text
-whose empty parts are fewer than its spare ones shares a part that is not empty with each
-similar text. Otherwise its empty parts count too, on both sides alike.
+Of its parts a text gives only those of the highest rank, by shingles in the part and by content, one more than may
+differ for its own size. Rank is a matter of a part's content alone. If two texts are similar, their equal parts are
+more than either leaves out; so the highest of the equal parts is given by both. Parts with few shingles, which
+unrelated texts share most, are left out first.
 
 Join and verification. Texts with an equal part of a band are tied to the smallest id that has
 it; so two similar texts are in the group of one leader. Whole sketches, with 4 to 8 bits a shingle,
@@ -39,8 +40,8 @@ from .components import components
 from .packing import buckets, packed, schema, unpacked
 from .textvec import FOLDED_VALUES, SPACE, WORD_BASE, WORD_BASE_2, mix, windows, words_of
 
-#: Ratio of the sizes at a band's ends; parts beyond those that may differ, as a part of them.
-RATIO, SPARE = 1.55, 0.08
+#: Ratio of the sizes at a band's ends; parts beyond those that may differ, as a part of them, among which texts choose.
+RATIO, SPARE = 1.55, 0.3
 CHUNK, FLUSH = 1 << 20, 1 << 17
 #: Shingles in a block that is verified together, and texts in it.
 BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 19, 1024
@@ -112,21 +113,17 @@ def signatures(owner: np.ndarray, hashes: np.ndarray, count: int, bands: Bands)
         start = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
         bits = np.bitwise_xor.reduceat(U(1) << (salted & U(63)), start)  # the part's parities
         strong = np.bitwise_xor.reduceat(mix(h + U(WORD_BASE_2)), start)  # and of the hashes' bits, which equal parts share as well
-        cells = cells[start]
-        text = np.repeat(np.arange(len(own)), parts)[cells]
-        part = cells - first[text]
-        empty = parts - np.bincount(text, minlength=len(own))
-        open_too = np.flatnonzero(empty >= parts - bands.differ[band])
-        key = mix(mix(strong ^ mix(bits)) + mix((band[text].astype(U) << U(40)) + part.astype(U)))
-        out_text.append(own[text])
-        out_key.append(key)
-        if len(open_too):
-            full = np.zeros(int(parts.sum()), bool)
-            full[cells] = True
-            cells = np.flatnonzero(~full & np.isin(np.repeat(np.arange(len(own)), parts), open_too))
-            text = np.repeat(np.arange(len(own)), parts)[cells]
-            out_text.append(own[text])
-            out_key.append(mix(mix((band[text].astype(U) << U(40)) + (cells - first[text]).astype(U))))
+        content, number = np.zeros(int(parts.sum()), U), np.zeros(int(parts.sum()), np.int64)
+        content[cells[start]] = mix(strong ^ mix(bits))
+        number[cells[start]] = np.diff(np.r_[start, len(cells)])
+        text = np.repeat(np.arange(len(own)), parts)
+        key = mix(content + mix((band[text].astype(U) << U(40)) + (np.arange(len(text)) - first[text]).astype(U)))
+        # the parts of highest rank, by shingles and key: one more than may differ
+        order = np.lexsort((key, -number, text))
+        rank = np.arange(len(text)) - first[text[order]]
+        taken = order[rank <= size[own][text[order]] * (100 - bands.percent) // bands.percent]
+        out_text.append(own[text[taken]])
+        out_key.append(key[taken])
     if not out_text:
         return np.empty(0, np.int64), np.empty(0, U)
     return np.concatenate(out_text), np.concatenate(out_key)
