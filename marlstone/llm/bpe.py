@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .base import free, pieces, tidy
 
 #: Bounds of what a worker remembers: words, and pairs of tokens.
-WORDS, PAIRS = 200_000, 500_000
+WORDS, PAIRS = 300_000, 500_000
 CHUNK = 2 << 20
 #: White space as the file's expressions mean it (Unicode's property).
 WHITE = r"\t-\r \x85\xa0  -     　"
