@@ -100,12 +100,21 @@ def walk(node: Any) -> Iterator[Any]:
 
 class Planner:
     def __init__(self, spark: SparkSession, table: Callable[[N.TableName], Table], variable: Callable[[str], Typed], settings: Settings, check: bool = False):
-        self.spark, self.table, self.variable, self.settings, self.check = spark, table, variable, settings, check
+        self.spark, self.variable, self.settings, self.check = spark, variable, settings, check
+        self._find, self._tables = table, {}
         self.functions = S.Functions(settings.char_as_byte)
         self.serial = 0
 
     # Tables
 
+    def table(self, name: N.TableName) -> Table:
+        """A table, looked up once in a statement; standard input each time, as it may be used once."""
+        if name.name.lower() == "__stdin":
+            return self._find(name)
+        if name not in self._tables:
+            self._tables[name] = self._find(name)
+        return self._tables[name]
+
     def fresh(self, prefix: str) -> str:
         self.serial += 1
         return f"{prefix}{self.serial}"
@@ -445,7 +454,7 @@ class Planner:
 
     def _keeps_place(self, source: N.Source) -> bool:
         """Parquet tables know their rows' places; other rows are numbered after the filter."""
-        return isinstance(source.table, N.TableName) and self.table(source.table).place is not None
+        return isinstance(source.table, N.TableName) and source.table.name.lower() != "__stdin" and self.table(source.table).place is not None
 
     def _output(self, node: N.Expr, env: Env) -> Typed:
         return self.expression(node, env)
