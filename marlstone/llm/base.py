@@ -104,3 +104,14 @@ def tidy() -> None:
     """Give memory that a task has freed back to the system; workers live on after it."""
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Rows in a batch that goes to Python.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Texts are long: let the session send at most BATCH_ROWS rows to Python at once (Spark's own limit is 10,000)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import free, pieces, tidy
+from .base import free, pieces, small_batches, tidy
 
 #: Bounds of what a worker remembers: words, and pairs of tokens.
 WORDS, PAIRS = 300_000, 500_000
@@ -287,6 +287,7 @@ def tokenize(df: DataFrame, path: str, text: str = "text", digest: bool = False)
     kept = [f for f in df.columns if f not in {n for n, *_ in added}]
     if digest and text in kept:
         kept.remove(text)
+    small_batches(df)
     rows = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").alias(free(df, "_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

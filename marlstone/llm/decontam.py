@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import free, text_pieces
+from .base import free, small_batches, text_pieces
 from .textvec import FOLDED_VALUES, NOT_ALNUM, Words, windows, words_of
 
 K1, B = 1.2, 0.75
@@ -256,6 +256,7 @@ MATCHES = "array<struct<item_id:bigint,score:double,question_overlap:double,answ
 def matched(docs: DataFrame, index: Index, name: str, text: str = "text", keep_text: bool = False) -> DataFrame:
     """Adds to every row, under that name, the verified matches with the index's items."""
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by PART_BYTES
+    small_batches(docs)
     kept = [c for c in docs.columns if keep_text or c != text]
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").alias(free(docs, "_text")))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))

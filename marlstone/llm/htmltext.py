@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import free, pieces
+from .base import free, pieces, small_batches
 
 SIGMA = 1.0
 CHUNK = 8 << 20
@@ -165,6 +165,7 @@ def main_text(html: str | None) -> str:
 def extract(df: DataFrame, html: str = "html") -> DataFrame:
     """Replaces the html column by text and n_chars (code points); other columns pass."""
     kept = [c for c in df.columns if c not in (html, "text", "n_chars")]
+    small_batches(df)
     rows = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{html}`").cast("string").alias(free(df, "_html")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

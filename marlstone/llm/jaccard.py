@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import checkpointed, free, text_pieces, unzipped, zipped
+from .base import checkpointed, free, small_batches, text_pieces, tidy, unzipped, zipped
 from .components import components
 from .packing import buckets, packed, schema, unpacked
 from .textvec import FOLDED_VALUES, SPACE, WORD_BASE, WORD_BASE_2, mix, windows, words_of
@@ -432,6 +432,7 @@ def parted_ties(found: DataFrame, percent: int) -> DataFrame:
                 held.append(tuple(row))
         if held:
             yield from close()
+        tidy()
 
     near = rows.select("leader", "_id", "size", "sketch").repartition("leader").sortWithinPartitions("leader", "_id").mapInArrow(run, "_id long, leader long")
     return near.unionAll(both.where("NOT held").select("_id", "leader")).distinct()
@@ -476,12 +477,14 @@ def links_of(docs: DataFrame, found: DataFrame, n: int, percent: int) -> DataFra
                 held.append((row[0], row[4], row[5]))
         if last is not None:
             yield from close()
+        tidy()
 
     return rows.select("_id", "leader", "i", "j", "own", "_text").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "_id").mapInArrow(run, "a long, b long")
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """(_id, n_shingles, component): a row for each row of df, its set's size, and the smallest id that links reach."""
+    small_batches(df)
     docs = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_ID)).alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
     found = checkpointed(tied(docs, n, percent))
     sets = found.where(F.col("kind") == SETS).select(F.col("a").alias("_id"), F.col("b").alias("n_shingles"), "c", "d")

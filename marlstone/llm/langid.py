@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import free, pieces, raw_texts
+from .base import free, pieces, raw_texts, small_batches
 
 WINDOW, WIDTHS, FILTERS, BYTE_DIMS = 256, (2, 3, 4), 8, 8
 #: Bounds of the sample that is learned from: rows, and windows of a row.
@@ -168,6 +168,7 @@ def fit(rows: DataFrame, key: str, text: str, label: str) -> Model | None:
 def identify(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
     """Adds lang_pred and score, learned from the rows for which learn holds; drops text and label columns."""
     model = fit(df.where(learn), key, text, label)
+    small_batches(df)
     shared = df.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the input
     kept = [c for c in df.columns if c not in (text, label, "lang_pred", "score")]
     rows = df.select(*(F.col(f"`{c}`") for c in kept), F.col(text).cast("string").alias(free(df, "_text")))

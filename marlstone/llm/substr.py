@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import text_pieces, unzipped, zipped, zipped_pieces
+from .base import small_batches, text_pieces, unzipped, zipped, zipped_pieces
 from .packing import buckets, packed, schema, unpacked, whole
 from .textvec import WORD_BASE_2, windows, words_of
 
@@ -209,6 +209,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     added = [("n_words", "long", pa.int64()), ("n_removed", "long", pa.int64()), ("kept_sha256" if digest else text, "string", pa.string())]
     kept = [c for c in df.columns if c != text and c not in {n for n, *_ in added}]
     string = F.col(f"`{text}`").cast("string")
+    small_batches(df)
     docs = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_ID)).alias("_id"), string.alias("_text"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(kept)))
     found = candidates(docs, window).groupBy("_id").agg(F.collect_set("place").alias("_places"))
     twice = docs.groupBy("_id").count().where("count > 1").select("_id", F.lit(True).alias("_twice"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import free, pieces, zipped, zipped_pieces
+from .base import free, pieces, small_batches, tidy, zipped, zipped_pieces
 
 ORDER, BITS = 5, 5
 SYMBOLS, CODES = 1 << BITS, 1 << (BITS * ORDER)
@@ -239,6 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     known = labels.where(learn & F.col(toxic).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(F.when(F.col(toxic) > 0, 1).otherwise(0)).alias("toxic"))
     held = F.pmod(F.xxhash64(F.col("_k").cast("string"), F.lit(11)), F.lit(CALIBRATE_ONE_IN)) == 0
     rows = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("text"))
+    small_batches(docs)
     # labels grow with the documents: the join is by sorting at every size
     blobs = counts(zipped(rows, "text").join(known.where(~held).hint("merge"), "_k", "left")).collect()  # at most 2^25 codes
     if not blobs:
@@ -270,6 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
 def score(df: DataFrame, model: Model | None, text: str = "text", keep_text: bool = False, threshold: float = THRESHOLD) -> DataFrame:
     """Adds score and predicted to every row; drops the text unless asked to keep it."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # 34 MB at most, whatever the input
+    small_batches(df)
     kept = [c for c in df.columns if c not in ("score", "predicted") and (keep_text or c != text)]
     rows = df.select(*(F.col(f"`{c}`") for c in kept), F.col(text).cast("string").alias(free(df, "_text")))
 
@@ -277,6 +279,8 @@ def score(df: DataFrame, model: Model | None, text: str = "text", keep_text: boo
         for b in batches:
             p = scores(shared.value, b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
+        unsqueezed.cache_clear()  # a worker lives on after the task
+        tidy()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "score double", "predicted int"])
     return rows.mapInArrow(run, schema)
