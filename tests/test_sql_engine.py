@@ -27,13 +27,13 @@ def rows(engine, sql):
 
 
 CONSTANTS = [
-    ("1", 1), ("1.1", 1.1), ("'x'''", "x'"), ("3 / 2", 1), ("-7 / 2", -3), ("-7 % 3", -1), ("1.1 + 1", 2.1), ("1 * 2.0 / (3 + 4.0)", 2 / 7), ("'13' / 5", 2), ("'1' / 3.0", 1 / 3), ("'4' + '5'", "45"), ("'1' + '9' + 5", 24),
-    ("-9223372036854775806 + -2", -9223372036854775808), ("+1.1", 1.1), ("-(1 * 2)", -2), ("~1", -2), ("6 & 3", 2), ("6 | 3", 7), ("6 ^ 3", 5), ("0x1F + 1", 32), ("left('αβΩ', 1)", "α"), ("right('αβΩ', 1)", "Ω"), ("right('abc', 9)", "abc"),
-    ("len('shnt   ')", 4), ("len('♜♞ ')", 2), ("len(100)", 3), ("datalength('♜♞ ')", 7), ("datalength(100)", 8), ("datalength(100.0)", 8), ("substring('shnt ', 3, 1)", "n"), ("substring('shnt', -1, 3)", "s"), ("substring('shnt', 12, 20)", ""),
-    ("substring('♗♕♔♗♘', 4, 3)", "♗♘"), ("replace('Haters gonna hate', 'hate', 'love')", "lovers gonna love"), ("replace('abc', '', 'x')", "abc"), ("replace('a.c', '.', '$1\\')", "a$1\\c"), ("isnull(null, 5)", 5), ("isnull('a', 5)", "a"),
-    ("cast(1234 as bit)", 1), ("cast('0' as bit)", 0), ("cast('-000001234' as int)", -1234), ("cast('0x7F' as int)", 127), ("cast(5.9 as int)", 5), ("cast('' as int)", 0), ("cast('6.5' as float)", 6.5), ("cast(55 as varchar)", "55"), ("cast('shnt' as varchar(3))", "shn"),
-    ("cast('shnt' as char(6))", "shnt  "), ("cast(1.5 as varchar)", "1.500000"), ("case 0 when 1 then 2 when 0 then 3 end", 3), ("case when 0 = 1 then 2 end", None), ("case when 'x' = 'y' then 1 else '2' end", 2), ("case 'a' when 'b' then '5' when 'x' then 2 when 'A ' then '1' end", 1),
-    ("null", None), ("1 + null", None), ("left('00' + cast(5 * (1 + null) as varchar), 8)", None), ("isnull(1 + null, null)", None), ("(select (select 7))", 7), ("'6' + (select 7)", 13), ("'6' + (select '7')", "67"), ("(select foo from t1 where 1 = 0)", None),
+    ("5", 5), ("2.25", 2.25), ("'o''clock'", "o'clock"), ("7 / 2", 3), ("-7 / 2", -3), ("-7 % 3", -1), ("0.5 + 2", 2.5), ("3 * 1.5 / (1 + 1.0)", 2.25), ("'17' / 5", 3), ("'2' / 8.0", 0.25), ("'7' + '8'", "78"), ("'2' + '3' + 4", 27),
+    ("-9223372036854775807 + -1", -9223372036854775808), ("+2.5", 2.5), ("-(3 * 4)", -12), ("~6", -7), ("12 & 10", 8), ("12 | 3", 15), ("12 ^ 10", 6), ("0x10 + 1", 17), ("left('żółw', 1)", "ż"), ("right('żółw', 1)", "w"), ("right('kiwi', 9)", "kiwi"),
+    ("len('plum   ')", 4), ("len('žě ')", 2), ("len(250)", 3), ("datalength('žě ')", 5), ("datalength(7)", 8), ("datalength(7.5)", 8), ("substring('plum ', 3, 1)", "u"), ("substring('plum', -1, 3)", "p"), ("substring('plum', 12, 20)", ""),
+    ("substring('кошка', 4, 3)", "ка"), ("replace('Rain after rain', 'RAIN', 'sun')", "sun after sun"), ("replace('abc', '', 'x')", "abc"), ("replace('a.c', '.', '$1\\')", "a$1\\c"), ("isnull(null, 5)", 5), ("isnull('a', 5)", "a"),
+    ("cast(77 as bit)", 1), ("cast('0' as bit)", 0), ("cast('-00042' as int)", -42), ("cast('0x2A' as int)", 42), ("cast(5.9 as int)", 5), ("cast('' as int)", 0), ("cast('6.5' as float)", 6.5), ("cast(31 as varchar)", "31"), ("cast('plum' as varchar(3))", "plu"),
+    ("cast('plum' as char(6))", "plum  "), ("cast(1.5 as varchar)", "1.500000"), ("case 4 when 1 then 2 when 4 then 9 end", 9), ("case when 0 = 1 then 2 end", None), ("case when 'p' = 'q' then 1 else '2' end", 2), ("case 'k' when 'b' then '5' when 'x' then 2 when 'K ' then '1' end", 1),
+    ("null", None), ("1 + null", None), ("left('00' + cast(2 * (3 + null) as varchar), 4)", None), ("isnull(2 + null, null)", None), ("(select (select 8))", 8), ("'5' + (select 6)", 11), ("'5' + (select '6')", "56"), ("(select foo from t1 where 1 = 0)", None),
 ]
 
 
@@ -57,10 +57,10 @@ def test_columns_give_what_constants_give(engine, expr, expected):
 
 
 LOGIC = [
-    ("'01' = 1", True), ("50.5 = '050.5'", True), ("'hi' = 'Hi   '", True), ("'hi' = ' hi'", False), ("'abcde f' != 'abcde'", True), ("'' <> ''", False), ("'Bad' > 'abc'", True), ("'A' > '{'", False), ("5 >= '4'", True), ("'abc' >= 'abc   '", True), ("'abc' >= 'abc d'", False),
-    ("'shnt' < 'TNHS'", True), ("'shnt' < 'SHNT'", False), ("888.1234 <= 888", False), ("'hello_world!' <= 'hello world!'", False), ("'sh.nt' like '%.%'", True), ("'sh.nt' not like '%.%'", False), ("'SHNT' like 'sh_t'", True), ("'b5' like '[a-c][^0-4]'", True), ("'s' in ('qcn', 'S ')", True),
-    ("1 in (1, 78)", True), ("'' in (' n', '      ')", True), ("1 not in (2, null)", True), ("null in (1)", False), ("null not in (1)", True), ("1 = 0 or 1 = 1 and 1 = 0", False), ("(1 = 1 or 1 = 1) and 1 = 0", False), ("not 1 = 0", True), ("not null = 1", True), ("null = null", False),
-    ("null - 4 is null", True), ("6 - 4 is null", False), ("5 between 1 and 5", True), ("'B' not between 'a' and 'c'", False), ("3 !> 4", True), ("3 !< 4", False), ("7 in (select 7)", True), ("8 not in (select 7)", True), ("'A1B2c3d4 ' in (select foo from t1)", True),
+    ("'03' = 3", True), ("2.5 = '02.5'", True), ("'oak' = 'OAK  '", True), ("'oak' = ' oak'", False), ("'oak tree' != 'oak'", True), ("'' <> ''", False), ("'Date' > 'cat'", True), ("'Z' > '~'", False), ("9 >= '8'", True), ("'fig' >= 'fig   '", True), ("'fig' >= 'fig e'", False),
+    ("'kale' < 'LEEK'", True), ("'kale' < 'KALE'", False), ("7.25 <= 7", False), ("'a_b' <= 'a b'", False), ("'a.b' like '%.%'", True), ("'a.b' not like '%.%'", False), ("'LEEK' like 'le_k'", True), ("'b5' like '[a-c][^0-4]'", True), ("'p' in ('xyz', 'P ')", True),
+    ("4 in (3, 4)", True), ("'' in (' q', '   ')", True), ("1 not in (2, null)", True), ("null in (1)", False), ("null not in (1)", True), ("2 = 0 or 3 = 3 and 3 = 0", False), ("(2 = 2 or 3 = 3) and 3 = 0", False), ("not 1 = 0", True), ("not null = 1", True), ("null = null", False),
+    ("null * 2 is null", True), ("6 / 4 is null", False), ("5 between 1 and 5", True), ("'B' not between 'a' and 'c'", False), ("3 !> 4", True), ("3 !< 4", False), ("7 in (select 7)", True), ("8 not in (select 7)", True), ("'A1B2c3d4 ' in (select foo from t1)", True),
 ]
 
 
@@ -100,7 +100,7 @@ QUERIES = [
     ("select foo from empty", []),
     ("select x from case", None),
     ("select x from [case.txt]", [("1",)]),
-    ("select shnt, bar from (select left(foo, 1) shnt, * from t1) x where bar like '[6-7]%'", [("a", "70"), ("e", "6c")]),
+    ("select head, bar from (select left(foo, 1) head, * from t1) x where bar like '[6-7]%'", [("a", "70"), ("e", "6c")]),
     ("select foo from t1 where foo not in (select foo from t2) order by 1", [("a1b2c3d4",), ("c3d4e5f6",), ("e5f6a7b8",)]),
     ("select bar from t1 where bar in (select 'CB') or baz = 900", [("cb",), ("f8",)]),
     ("select 1 union all select '2' union all select 3.0", [(1.0,), (2.0,), (3.0,)]),
@@ -125,7 +125,7 @@ def test_queries(engine, sql, expected):
 
 PLAN_FAULTS = [
     "select nope from t1", "select foo from t1 join t2 on t1.bar = t2.bar", "select t1.foo from t1 join t2 on t1.bar = bar", "select t1.foo from t1 x", "select foo from t1 group by bar", "select bar from t1 group by bar order by foo", "select (select 1, 2)", "select left('x', -1)", "select 's' + 1",
-    "select 101 / 0", "select 5 % 0", "select -9223372036854775806 + -124", "select -9223372036854775806 - 124", "select -922337203685477580 * 124", "select -(-9223372036854775808)", "select 's' - 't'", "select 1.5 & 1", "select sum(foo) from t1", "select foo from t1 where count(*) > 1", "select foo from missing",
+    "select 9 / 0", "select 5 % 0", "select -9223372036854775807 + -30", "select -9223372036854775807 - 30", "select 4611686018427387904 * 2", "select -(-9223372036854775808)", "select 's' - 't'", "select 1.5 & 1", "select sum(foo) from t1", "select foo from t1 where count(*) > 1", "select foo from missing",
     "select top -1 foo from t1", "select top 1.5 foo from t1", "select foo from t1 order by 2", "select 1 union all select 1, 2", "select a x, b x from (select 1 a, 2 b) t order by x", "select cast(1 as money)", "declare @x datetime", "select @nope", "declare @a int declare @a int", "set @b = 1",
     "select foo, bar into [new.temp] from t1 select baz from [new.temp]", "select foo, bar into [t2.csv] from t1 select baz from [t2.csv]", "select * from __stdin", "select foo from t1 having foo = 1", "select *", "select x.* from t1", "select foo from broken.t1", "select foo from nosuch.t1", "update t1 set nope = 1",
     "select max(min(foo)) from t1", "select distinct bar from t1 order by baz", "delete zzz from t1 where 1 = 1",
@@ -167,7 +167,7 @@ def test_loose_groups_show_the_first_row(spark, folder):
 
 def test_char_as_byte(spark, folder):
     e = Engine(spark, folder, char_as_byte=True)
-    assert rows(e, "select right('♗♕♔♗♘', 3), len('é'), left('é' + foo, 3) from t1 where baz = 300") == [("♘", 2, "éa")]
+    assert rows(e, "select right('日本語', 3), len('é'), left('é' + foo, 3) from t1 where baz = 300") == [("語", 2, "éa")]
 
 
 def test_force_cartesian_gives_the_same(spark, folder):
