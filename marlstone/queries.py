@@ -183,11 +183,11 @@ SCRIPTS: dict[str, tuple[str, str]] = {
     "everything": (
         "select top (5 * 4) (select top 1 r_name from region order by r_regionkey) first_region, seg + '!' mark, max(o_totalprice) most, n, count(*) orders "
         "from (select c_mktsegment seg, count(*) n from customer group by c_mktsegment) x join customer c on c.c_mktsegment = x.seg and 1 = 1 join orders on o_custkey = c_custkey "
-        "where len(seg) <= 5 * 2 and c_nationkey in (select n_nationkey from nation where n_name like '[a-k]%') and not o_orderstatus = 'p' "
+        "where len(seg) <= 5 * 2 and c_nationkey in (select n_nationkey from nation where n_name like '%[1-5]') and not o_orderstatus = 'p' "
         "group by seg, n having min(o_totalprice) < 30000 order by seg desc, n, most",
         "SELECT (SELECT r_name FROM region ORDER BY r_regionkey LIMIT 1) AS first_region, seg || '!' AS mark, max(o_totalprice) AS most, n, count(*) AS orders "
         "FROM (SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY c_mktsegment) x JOIN customer c ON c.c_mktsegment = x.seg JOIN orders ON o_custkey = c_custkey "
-        "WHERE length(seg) <= 10 AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE regexp_full_match(n_name, '[a-k].*', 'i')) AND o_orderstatus <> 'P' "
+        "WHERE length(seg) <= 10 AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE regexp_full_match(n_name, '.*[1-5]', 'i')) AND o_orderstatus <> 'P' "
         "GROUP BY seg, n HAVING min(o_totalprice) < 30000 ORDER BY seg DESC, n, 3 LIMIT 20",
     ),
     "flagship": (
