@@ -37,6 +37,7 @@ class Typed:
     col: Column
     kind: str
     value: Any = UNKNOWN
+    raw: bool = False  # a text file's field as it was read
 
     @property
     def known(self) -> bool:
@@ -58,9 +59,9 @@ def kind_of(data_type: T.DataType) -> str:
     return STRING if isinstance(data_type, T.StringType) else OTHER
 
 
-def column(col: Column, kind: str) -> Typed:
+def column(col: Column, kind: str, raw: bool = False) -> Typed:
     """A source's column, numbers widened."""
-    return Typed(col.cast(SPARK_TYPES[kind]) if kind in (INT, FLOAT) else col, kind)
+    return Typed(col.cast(SPARK_TYPES[kind]) if kind in (INT, FLOAT) else col, kind, raw=raw)
 
 
 def plain(kind: str) -> str:

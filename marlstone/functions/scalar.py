@@ -125,8 +125,14 @@ class Functions:
     def call(self, name: str, args: list[Typed]) -> Typed:
         return getattr(self, f"_{name.lower()}")(*args)
 
+    def _valid(self, s: Typed) -> Column:
+        """Characters can't be counted in a text file's field that was no UTF-8; readers put U+FFFD where it was not."""
+        if self.bytes or not s.raw:
+            return s.col
+        return F.when(s.col.contains("\ufffd"), F.raise_error(F.lit("invalid UTF-8")).cast("string")).otherwise(s.col)
+
     def _sliced(self, s: Typed, make: Callable[[Column], Column]) -> Column:
-        return make(F.encode(s.col, "UTF-8")).cast("string") if self.bytes else make(s.col)
+        return make(F.encode(s.col, "UTF-8")).cast("string") if self.bytes else make(self._valid(s))
 
     def _unit(self, s: str) -> str | bytes:
         return s.encode() if self.bytes else s
@@ -138,7 +144,7 @@ class Functions:
         s = to(a, STRING)
         if s.known:
             return literal(None if s.value is None else len(self._unit(s.value.rstrip())), INT)
-        trimmed = F.regexp_replace(s.col, r"\s+$", "")
+        trimmed = F.regexp_replace(self._valid(s), r"\s+$", "")
         return Typed((F.octet_length(trimmed) if self.bytes else F.length(trimmed)).cast("bigint"), INT)
 
     def _datalength(self, a: Typed) -> Typed:

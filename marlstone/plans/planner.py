@@ -51,7 +51,7 @@ class InScope:
     rec: str | None = None
 
     def typed(self, j: int) -> Typed:
-        return column(F.col(self.columns[j]), self.kinds[j])
+        return column(F.col(self.columns[j]), self.kinds[j], self.layout.io != "parquet")
 
 
 @dataclass

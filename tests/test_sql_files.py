@@ -163,3 +163,14 @@ def test_micro_batches(spark, tmp_path):
     q = select_each_batch(Engine(spark, str(tmp_path)), "select v, sum(k) s from events group by v order by v", stream, "events", lambda df, n: got.extend(tuple(r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert got == [("a", 4), ("b", 2)]
+
+
+def test_invalid_utf8(spark, tmp_path):
+    with open(tmp_path / "bad.csv", "wb") as f:
+        f.write(b"a,b\nok,1\n\xff\xfex,2\n")
+    e = Engine(spark, str(tmp_path))
+    assert e.query("select count(*) from bad").first()[0] == 2 and e.query("select left(a, 1) from bad where b = 1").first()[0] == "o"
+    for f in ("left(a, 1)", "right(a, 1)", "substring(a, 1, 1)", "len(a)"):
+        with pytest.raises(Exception, match="invalid UTF-8"):
+            e.query(f"select {f} from bad").collect()
+    assert Engine(spark, str(tmp_path), char_as_byte=True).query("select len(a) from bad where b = 2").first()[0] > 1
