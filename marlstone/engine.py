@@ -6,6 +6,7 @@ import copy
 import os
 import shutil
 import tempfile
+import uuid
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -192,9 +193,7 @@ class Engine:
         self.statements, self.scope, self.events, self.current = (), Scope(), None, None
         self.written = {}
         self.stdin.reset()
-        if self.work:
-            shutil.rmtree(self.work, ignore_errors=True)
-            self.work = ""
+        self._drop_work()
 
     def close(self) -> None:
         self.reset()
@@ -288,11 +287,27 @@ class Engine:
         return readers.Options(delimiter, p.out_std if layout else p.in_std, p.strict, p.multiline)
 
     def place(self, name: str) -> str:
-        if name.startswith("#"):
-            if not self.work:
-                self.work = tempfile.mkdtemp(prefix="marlstone-", dir=None if is_uri(self.base) else self.base if os.access(self.base, os.W_OK) else None)
-            return os.path.join(self.work, f"{name}.parquet")
-        return Finder(self.spark, self.base).place(name)
+        """Where a file of this name is, or goes; temporary tables go to a folder that all executors share."""
+        if not name.startswith("#"):
+            return Finder(self.spark, self.base).place(name)
+        if not self.work:
+            context = self.spark.sparkContext
+            shared = context.getConf().get("spark.checkpoint.dir")
+            if shared:
+                self.work = f"{shared.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
+            elif context.master.startswith("local"):
+                self.work = tempfile.mkdtemp(prefix="marlstone-")
+            else:
+                raise RunFault("temporary tables need spark.checkpoint.dir, a folder that all executors share")
+        return f"{self.work}/{name}.parquet"
+
+    def _drop_work(self) -> None:
+        if self.work and is_uri(self.work):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.work)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        elif self.work:
+            shutil.rmtree(self.work, ignore_errors=True)
+        self.work = ""
 
     def _key(self, path: str) -> str:
         return path if is_uri(path) else os.path.abspath(path)

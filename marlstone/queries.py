@@ -209,10 +209,13 @@ def _script(sql: str) -> Query:
 def _folder(spark: SparkSession) -> str:
     """Where the writing queries put their files: a folder that all executors share, if the session names one."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or ""
-    shared = shared.removeprefix("file://") if shared.startswith(("file://", "/")) else ""
-    if shared:
-        os.makedirs(shared, exist_ok=True)
-    return tempfile.mkdtemp(prefix="marlstone-", dir=shared or None)
+    folder = shared.removeprefix("file://")
+    if not folder.startswith("/"):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("text files need a mounted folder that all executors share in spark.checkpoint.dir")
+        return tempfile.mkdtemp(prefix="marlstone-")
+    os.makedirs(folder, exist_ok=True)
+    return tempfile.mkdtemp(prefix="marlstone-", dir=folder)
 
 
 def _writing(sql: str, files: dict[str, str] | None = None, variables: dict[str, str] | None = None, **properties: object) -> Query:

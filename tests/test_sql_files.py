@@ -88,7 +88,10 @@ def test_fixed_width_round_trip(engine, folder):
 
 def test_temporary_tables_go(engine, spark, folder):
     assert engine.query("select distinct bar into #b from t3 select count(*) from #b").first()[0] == 3
+    work = engine.work
+    assert os.path.isdir(work)
     engine.reset()
+    assert not os.path.exists(work)
     with pytest.raises(PlanFault):
         engine.prepare("select * from #b")
 
