@@ -241,9 +241,15 @@ class WordBPE:
         if len(self.words) + len(words) > WORDS:
             self.words, self.shown = ({w: x[w] for w in words if w in x} for x in (self.words, self.shown))
         missing = {self.in_bytes(w): w for w in words if w not in self.words}
-        for symbols, tokens in self.encode_words(missing):
-            self.words[missing[symbols]] = " ".join(map(self.id_text.__getitem__, tokens))
-            self.shown[missing[symbols]] = " ".join(tokens)
+        collects = gc.isenabled()
+        gc.disable()  # a trie has no cycles, and very many nodes that would be looked through
+        try:
+            for symbols, tokens in self.encode_words(missing):
+                self.words[missing[symbols]] = " ".join(map(self.id_text.__getitem__, tokens))
+                self.shown[missing[symbols]] = " ".join(tokens)
+        finally:
+            if collects:
+                gc.enable()
 
     def parts(self, text: str | None) -> list[str | list[str]]:
         """Special tokens as they are, and the lists of words between them."""
