@@ -7,8 +7,9 @@ of the item that the passage holds. Retrieval is by upper bounds: over blocks of
 many passages at once, the blocks' largest weights of a passage's rarer terms and the
 largest weights of its common ones bound what any item of the block can score; passages
 and blocks below the threshold end there, and items of the rest whose own weights of the
-rarer terms leave them below it. For the passages that remain, block-max WAND walks the
-postings, item by item. All items at or above the threshold are then verified: both the question and the
+rarer terms leave them below it. Where the common terms alone may reach the threshold, an
+item needs no rarer one: the blocks' largest weights of all terms open blocks there. For
+the passages that remain, block-max WAND walks the postings, item by item. All items at or above the threshold are then verified: both the question and the
 answer of the item must overlap the passage in runs of three words.
 
 The index is broadcast in parts of a fixed number of bytes of item text; with more items,
@@ -218,12 +219,22 @@ def search(index: Index, texts: list[bytes]) -> list[tuple[int, int, float, floa
     cells, cell = np.unique(k[at] * len(index.items) + item[at], return_inverse=True)
     alone = np.bincount(cell, index.weight[posting][at], len(cells)) + usual[cells // len(index.items)]
     cells = cells[alone >= THRESHOLD - 1e-9]  # the items' own weights of rarer terms
+    blocks = np.unique(cells // len(index.items) * n_blocks + cells % len(index.items) // BLOCK)
+    enough = np.flatnonzero(usual >= THRESHOLD - 1e-9)  # passages whose common terms alone may do
+    if len(enough):
+        bound[enough] -= usual[enough, None]
+        at = np.flatnonzero(common & (usual >= THRESHOLD - 1e-9)[of])
+        for p, t in zip(of[at].tolist(), term[at].tolist(), strict=True):
+            own = slice(index.block_first[t], index.block_first[t + 1])
+            bound[p, index.block[own]] += index.block_weight[own]
+        k, block = np.nonzero(bound[enough] >= THRESHOLD - 1e-9)
+        blocks = np.union1d(blocks, enough[k] * n_blocks + block)
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    starts = np.flatnonzero(np.r_[True, np.diff(cells // len(index.items)) > 0]) if len(cells) else []
-    for group in np.split(cells, starts[1:]) if len(cells) else []:
-        p = int(group[0]) // len(index.items)
+    starts = np.flatnonzero(np.r_[True, np.diff(blocks // n_blocks) > 0]) if len(blocks) else []
+    for group in np.split(blocks, starts[1:]) if len(blocks) else []:
+        p = int(group[0]) // n_blocks
         own = term[slice(*np.searchsorted(of, [p, p + 1]))]
-        found = wand(index, own, set((group % len(index.items) // BLOCK).tolist()))
+        found = wand(index, own, set((group % n_blocks).tolist()))
         if not found:
             continue
         there = np.unique(windows(h[start[alive[p]] : end[alive[p]]], RUN))

@@ -101,3 +101,11 @@ def test_items_in_parts(spark, world, monkeypatch):
     assert len(decontam.indexes(frame)) > 1
     got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), frame).collect()
     assert truth <= {(r["doc_id"], r["item_id"]) for r in got}
+
+
+@pytest.mark.parametrize(("n", "copies"), [(5, 3), (14, 3), (60, 20)])
+def test_copies_of_one_item_are_found(world, n, copies):
+    items = [(i, world[0][0 if i < copies else i][1]) for i in range(n)]
+    texts = ["so " * 90 + items[0][1] + " and so on" * 40, items[-1][1], "so on and on"]
+    found = {(p, i) for p, i, *_ in decontam.search(decontam.build(items), [t.encode() for t in texts])}
+    assert found == {*((0, i) for i in range(copies)), (1, n - 1)}
