@@ -10,7 +10,8 @@ and blocks below the threshold end there, and items of the rest whose own weight
 rarer terms leave them below it. Where the common terms alone may reach the threshold, an
 item needs no rarer one: the blocks' largest weights of all terms open blocks there. For
 the passages that remain, block-max WAND walks the postings, item by item. All items at or above the threshold are then verified: both the question and the
-answer of the item must overlap the passage in runs of three words.
+answer of the item must overlap the passage in runs of three words, a part of one or two
+words as a whole.
 
 The index is broadcast in parts of a fixed number of bytes of item text; with more items,
 there is one pass for each part.
@@ -237,7 +238,8 @@ def search(index: Index, texts: list[bytes]) -> list[tuple[int, int, float, floa
         found = wand(index, own, set((group % n_blocks).tolist()))
         if not found:
             continue
-        there = np.unique(windows(h[start[alive[p]] : end[alive[p]]], RUN))
+        held = h[start[alive[p]] : end[alive[p]]]
+        there = np.unique(np.concatenate([windows(held, n) for n in range(1, RUN + 1)]))  # parts have runs of RUN words, or are shorter
         for i, score in found:
             overlaps = []
             for part in (index.question[i], index.answer[i]):

@@ -109,3 +109,11 @@ def test_copies_of_one_item_are_found(world, n, copies):
     texts = ["so " * 90 + items[0][1] + " and so on" * 40, items[-1][1], "so on and on"]
     found = {(p, i) for p, i, *_ in decontam.search(decontam.build(items), [t.encode() for t in texts])}
     assert found == {*((0, i) for i in range(copies)), (1, n - 1)}
+
+
+def test_short_parts_are_found(world):
+    items = [*world[0][:40], (100, "Zyx"), (101, "Qua wub"), (102, "Who wrote the famous play Hamlet? Shakespeare"), (103, "vex nob tir gam lup sed fiq mor"),
+             (104, "What is six times seven? = 42 ."), (105, "vor ? bex dal ! - nuk")]
+    texts = [f"so it goes {t} and on and on" for _, t in items[40:]] + ["who wrote about a famous play of 41", "qua and wub, zyxx"]
+    found = {(p, i) for p, i, *_ in decontam.search(decontam.build(items), [t.encode() for t in texts])}
+    assert found == {(p, 40 + p) for p in range(6)}
