@@ -33,7 +33,7 @@ from .base import free, pieces, small_batches, tidy, zipped, zipped_pieces
 
 ORDER, BITS = 5, 5
 SYMBOLS, CODES = 1 << BITS, 1 << (BITS * ORDER)
-#: Ranges of codes that are summed together, bound of the labelled rows that calibrate, and one in so many labelled rows is kept for that.
+#: Ranges of codes that are summed together, bound of the labelled rows that calibrate, chosen among one in so many labelled rows.
 RANGES, CALIBRATE_ROWS, CALIBRATE_ONE_IN = 64, 4000, 5
 #: Nats by which an expression must exceed the ordinary level; steps of the table.
 LEVEL, STEP = 4.0, 0.05
@@ -238,10 +238,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     """Counts over all of docs; labels only of the rows for which learn (over key) holds."""
     known = labels.where(learn & F.col(toxic).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(F.when(F.col(toxic) > 0, 1).otherwise(0)).alias("toxic"))
     held = F.pmod(F.xxhash64(F.col("_k").cast("string"), F.lit(11)), F.lit(CALIBRATE_ONE_IN)) == 0
+    chosen = {r["_k"]: r["toxic"] for r in known.where(held).orderBy(F.xxhash64(F.col("_k").cast("string"), F.lit(12)), "_k").limit(CALIBRATE_ROWS).collect()}
+    counted = known.where(~F.col("_k").isin(list(chosen))) if chosen else known
     rows = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("text"))
     small_batches(docs)
     # labels grow with the documents: the join is by sorting at every size
-    blobs = counts(zipped(rows, "text").join(known.where(~held).hint("merge"), "_k", "left")).collect()  # at most 2^25 codes
+    blobs = counts(zipped(rows, "text").join(counted.hint("merge"), "_k", "left")).collect()  # at most 2^25 codes
     if not blobs:
         return None
     codes = np.concatenate([np.frombuffer(b["codes"], np.uint32) for b in blobs])
@@ -252,7 +254,6 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     order = np.argsort(codes)
     table = squeezed(log_ratio(codes[order], n[order]))
     del codes, n, order
-    chosen = {r["_k"]: r["toxic"] for r in known.where(held).orderBy(F.xxhash64(F.col("_k").cast("string"), F.lit(12)), "_k").limit(CALIBRATE_ROWS).collect()}
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,3 +97,12 @@ def test_labels_of_excluded_rows_do_not_matter(spark):
     flipped = [(i, 1 - t if i % 3 == 1 else t) for i, t in labels]
     a, b = (toxicity.fit(docs, spark.createDataFrame(x, "doc_id long, toxic int"), learn) for x in (labels, flipped))
     assert a.table == b.table and np.allclose(a.weights, b.weights)
+
+
+def test_only_calibration_rows_are_left_out_of_the_counts(spark, monkeypatch):
+    rows, labels = corpus(300)
+    seen, counts = [], toxicity.counts
+    monkeypatch.setattr(toxicity, "CALIBRATE_ROWS", 20)
+    monkeypatch.setattr(toxicity, "counts", lambda labelled: seen.append(labelled.where("toxic IS NOT NULL").count()) or counts(labelled))
+    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    assert seen == [len(labels) - 20]
