@@ -10,6 +10,7 @@ import csv
 import io
 import os
 import re
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -27,8 +28,6 @@ DELIMITERS = ",|;\t"
 MULTILINE_BYTES = 64 << 20
 #: Quoting of text: none; quotes where a field begins with one; doubled quotes inside; all fields.
 STANDARDS = ("NONE", "WEAK", "RFC4180", "ALL")
-#: Files whose order is kept by name; more are ordered by a hash of their names.
-ORDERED_FILES = 256
 
 
 @dataclass
@@ -156,6 +155,18 @@ def _ends_lines(path: str, total: int, widths: tuple[int, ...]) -> bool | None:
     return False if start[total : total + 1] in (b"\n", b"\r", b"") else None
 
 
+def _rank(files: list[str], name: Column) -> Column:
+    """The file's rank by name, as one literal however many files there are; a row looks its name up among the few of the same checksum."""
+    short = r"^([^/:]+):/+", r"$1:/"  # Spark lists file:///a and gives rows file:/a
+    groups = ["\n"] * len(files)
+    for rank, file in enumerate(sorted(re.sub(short[0], r"\1:/", f) for f in files)):
+        groups[zlib.crc32(file.encode()) % len(files)] += f"{file}\t{rank}\n"
+    name = F.regexp_replace(name, *short)
+    group = F.get(F.split(F.lit("\1".join(groups)), "\1"), (F.crc32(name.cast("binary")) % F.lit(len(files))).cast("int"))
+    after = F.call_function("substring_index", group, F.concat(F.lit("\n"), name, F.lit("\t")), F.lit(-1))
+    return F.coalesce(F.substring_index(after, "\n", 1).try_cast("long"), F.raise_error(F.concat(F.lit("not a file of the table: "), name)).cast("long"))
+
+
 def read_parquet(spark: SparkSession, path: str) -> Table:
     df = spark.read.parquet(path)
     names = df.columns
@@ -165,9 +176,7 @@ def read_parquet(spark: SparkSession, path: str) -> Table:
     if len(files) == 1:
         place = row
     else:
-        name = F.col("_metadata.file_path")
-        at = F.array_position(F.lit(sorted(files)), name) if len(files) <= ORDERED_FILES else F.pmod(F.xxhash64(name), F.lit(1 << 22))
-        place = at * F.lit(1 << 40) + row
+        place = _rank(files, F.col("_metadata.file_path")) * F.lit(1 << 40) + row
     return Table(df.toDF(*(f"c{i}" for i in range(len(names)))), names, kinds, Layout("parquet"), path, place)
 
 

@@ -1,11 +1,14 @@
 import io
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from marlstone.cli import main
 from marlstone.engine import Engine
 from marlstone.errors import PlanFault
+from marlstone.sources.readers import read_parquet
 
 from . import tables
 
@@ -177,3 +180,19 @@ def test_invalid_utf8(spark, tmp_path):
         with pytest.raises(Exception, match="invalid UTF-8"):
             e.query(f"select {f} from bad").collect()
     assert Engine(spark, str(tmp_path), char_as_byte=True).query("select len(a) from bad where b = 2").first()[0] > 1
+
+
+@pytest.mark.parametrize("files", [3, 300])
+def test_rows_of_many_parquet_files_have_their_own_places(spark, tmp_path, files):
+    os.makedirs(tmp_path / "many.parquet")
+    for i in range(files):
+        pq.write_table(pa.table({"k": [2 * i, 2 * i + 1]}), tmp_path / "many.parquet" / f"part {i:05d}.parquet")
+    table = read_parquet(spark, str(tmp_path / "many.parquet"))
+    places = {r["c0"]: r["p"] for r in table.df.select("c0", table.place.alias("p")).collect()}
+    assert len(set(places.values())) == 2 * files and sorted(places, key=places.get) == list(range(2 * files))
+    pq.write_table(pa.table({"k": [0, 5]}), tmp_path / "gone.parquet")
+    with_engine = Engine(spark, str(tmp_path), overwrite=True)
+    with_engine.execute("delete m from [many.parquet] m join [gone.parquet] g on m.k = g.k")
+    left = [r[0] for r in with_engine.query("select k from [many.parquet]").collect()]
+    with_engine.close()
+    assert sorted(left) == [k for k in range(2 * files) if k not in (0, 5)]
