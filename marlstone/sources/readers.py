@@ -24,7 +24,7 @@ from .files import is_uri
 from .schemas import FileSchema, Layout
 
 DELIMITERS = ",|;\t"
-#: Up to this many bytes, a text file is read whole, so that quoted fields may hold line breaks.
+#: Up to this many bytes, a local text file is read whole without a look for line breaks in its quoted fields.
 MULTILINE_BYTES = 64 << 20
 #: Quoting of text: none; quotes where a field begins with one; doubled quotes inside; all fields.
 STANDARDS = ("NONE", "WEAK", "RFC4180", "ALL")
@@ -72,7 +72,15 @@ def guess_delimiter(line: str) -> str:
     return best if len(split_line(line, best, "RFC4180")) > 1 else ","
 
 
-def _csv_options(layout: Layout, options: Options, path: str) -> dict[str, str]:
+def _breaks_records(spark: SparkSession, path: str, delimiter: str, standard: str) -> bool:
+    """Whether a record may span lines: a line has a quote outside of fields that are closed in it, or a carriage return before its end."""
+    d, inner = re.escape(delimiter), '(?:""[^"]*+)*+' if standard != "WEAK" else ""
+    closed = f'^(?:[^"]++|(?<=^|{d})"[^"]*+{inner}"(?={d}|\\z))*+\\z'
+    line = F.regexp_replace("value", r"\r\z", "")
+    return not spark.read.text(path, lineSep="\n").where(line.contains("\r") | line.contains('"') & ~line.rlike(closed)).isEmpty()
+
+
+def _csv_options(spark: SparkSession, layout: Layout, options: Options, path: str) -> dict[str, str]:
     out = {"sep": layout.delimiter, "header": str(layout.header).lower(), "nullValue": "\u0001", "emptyValue": "", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "unescapedQuoteHandling": "STOP_AT_DELIMITER", "columnNameOfCorruptRecord": "_bad"}
     if options.in_std == "NONE":
         out |= {"quote": "\u0000", "escape": "\u0000"}
@@ -80,7 +88,8 @@ def _csv_options(layout: Layout, options: Options, path: str) -> dict[str, str]:
         out["escape"] = "\u0000"
     whole = options.multiline
     if whole is None:
-        whole = options.in_std != "NONE" and not is_uri(path) and os.path.isfile(path) and os.path.getsize(path) <= MULTILINE_BYTES
+        small = not is_uri(path) and os.path.isfile(path) and os.path.getsize(path) <= MULTILINE_BYTES
+        whole = options.in_std != "NONE" and (small or _breaks_records(spark, path, layout.delimiter, options.in_std))
     return out | {"multiLine": str(whole).lower()}
 
 
@@ -112,12 +121,13 @@ def read(spark: SparkSession, path: str, schema: FileSchema | None, options: Opt
             raise PlanFault(f"{path} has columns of the same name")
     else:
         names = list(schema.names) if schema.names else [f"__{i + 1}" for i in range(len(cells))]
-    reader = spark.read.schema(_strings(len(names))).options(**_csv_options(layout, options, path))
+    parsing = _csv_options(spark, layout, options, path)
+    reader = spark.read.schema(_strings(len(names))).options(**parsing)
 
     def raw() -> DataFrame:
         text = spark.read.text(path).withColumn("_n", F.monotonically_increasing_id())
         text = text.where("_n > 0") if layout.header else text  # the first line is the first row of the first split
-        parsed = F.from_csv("value", _strings(len(names)).simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {k: v for k, v in _csv_options(layout, options, path).items() if k not in ("header", "multiLine")})
+        parsed = F.from_csv("value", _strings(len(names)).simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {k: v for k, v in parsing.items() if k not in ("header", "multiLine")})
         return text.select(parsed.alias("_p"), F.col("value").alias("_rec")).select(*_cells(len(names), delimiter, "_p."), "_rec")
 
     return Table(reader.csv(path).select(*_cells(len(names), delimiter)), names, [STRING] * len(names), layout, path, None, raw)

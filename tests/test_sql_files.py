@@ -8,6 +8,7 @@ import pytest
 from marlstone.cli import main
 from marlstone.engine import Engine
 from marlstone.errors import PlanFault
+from marlstone.sources import readers
 from marlstone.sources.readers import read_parquet
 
 from . import tables
@@ -196,3 +197,15 @@ def test_rows_of_many_parquet_files_have_their_own_places(spark, tmp_path, files
     left = [r[0] for r in with_engine.query("select k from [many.parquet]").collect()]
     with_engine.close()
     assert sorted(left) == [k for k in range(2 * files) if k not in (0, 5)]
+
+
+@pytest.mark.parametrize("text", ['a,b\n1,"x\ny"\n2,z\n', 'a,b\n1,"x ""q"", y"\n"2",z\n', 'a,b\n1,p"q\n2,"z\n"\n', 'a,b\r\n1,x\r\n2,"y\r\nz"\r\n', "a,b\n1,x\n2,y\n"])
+def test_line_breaks_in_quotes_do_not_depend_on_size_or_path(spark, tmp_path, monkeypatch, text):
+    (tmp_path / "t.csv").write_bytes(text.encode())
+    path = str(tmp_path / "t.csv")
+    rows = lambda p: [tuple(r) for r in readers.read(spark, p, None, readers.Options()).df.collect()]
+    small = rows(path)
+    assert rows("file://" + path) == small
+    monkeypatch.setattr(readers, "MULTILINE_BYTES", 4)
+    assert rows(path) == small and len(small) == 2
+    assert readers._breaks_records(spark, path, ",", "RFC4180") == ('"x\n' in text or '"z\n' in text or '"y\r' in text)
