@@ -14,7 +14,8 @@ answer of the item must overlap the passage in runs of three words, a part of on
 words as a whole.
 
 The index is broadcast in parts of a fixed number of bytes of item text; with more items,
-there is one pass for each part.
+there is one pass for each part. Numbers of items and of those with a term, lengths and
+passages are those of all items in each part, so that scores do not depend on the parts.
 
 Defined results: null or empty texts and items match nothing; words are runs of ASCII letters
 and digits and of other characters beyond ASCII, A-Z lower-cased; repeated rows are judged
@@ -26,6 +27,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -43,6 +45,16 @@ BLOCK, COMMON, PART_BYTES = 8, 0.2, 8 << 20
 CHUNK, LEAST_PASSAGE, LEAST_ANSWER = 1 << 20, 32, 6
 
 
+class Whole(NamedTuple):
+    """What an index needs to know of all items, those of other parts too."""
+
+    items: int
+    words: int
+    longest: int
+    terms: np.ndarray  # sorted
+    df: np.ndarray
+
+
 class Index(NamedTuple):
     items: np.ndarray  # ids
     terms: np.ndarray  # hashes, sorted
@@ -82,8 +94,27 @@ def runs(hashes: np.ndarray) -> np.ndarray:
     return np.unique(windows(hashes, min(RUN, len(hashes)))) if len(hashes) else np.empty(0, np.uint64)
 
 
-def build(rows: list[tuple[int, str]]) -> Index | None:
-    """The index of (item id, text) rows."""
+def measured(rows: list[tuple[int, str]]) -> Whole:
+    words = folded([t.encode() for _, t in rows if t])
+    lengths = np.diff(words.bounds)
+    owner = words.owner()
+    order = np.lexsort((owner, words.hashes))
+    h, owner = words.hashes[order], owner[order]
+    once = np.ones(len(h), bool)  # each term of an item
+    once[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    terms, df = np.unique(h[once], return_counts=True)
+    return Whole(int((lengths > 0).sum()), int(lengths.sum()), int(lengths.max(initial=0)), terms, df)
+
+
+def together(a: Whole, b: Whole) -> Whole:
+    terms, at = np.unique(np.concatenate([a.terms, b.terms]), return_inverse=True)
+    df = np.bincount(at, np.concatenate([a.df, b.df]), len(terms)).astype(np.int64)
+    return Whole(a.items + b.items, a.words + b.words, max(a.longest, b.longest), terms, df)
+
+
+def build(rows: list[tuple[int, str]], whole: Whole | None = None) -> Index | None:
+    """The index of (item id, text) rows; whole: of all items, if these are a part of them."""
+    whole = whole or measured(rows)
     rows = sorted((i, t) for i, t in rows if t)
     words = folded([t.encode() for _, t in rows])
     some = np.flatnonzero(np.diff(words.bounds))
@@ -94,9 +125,9 @@ def build(rows: list[tuple[int, str]]) -> Index | None:
     terms, term = np.unique(words.hashes, return_inverse=True)
     pairs, tf = np.unique(term * len(rows) + np.repeat(np.arange(len(rows)), lengths.astype(int)), return_counts=True)
     term, item = pairs // len(rows), pairs % len(rows)
-    df = np.bincount(term, minlength=len(terms))
-    idf = np.log(1 + (len(rows) - df + 0.5) / (df + 0.5))
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / lengths.mean()))
+    df = whole.df[np.searchsorted(whole.terms, terms)]
+    idf = np.log(1 + (whole.items - df + 0.5) / (df + 0.5))
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / (whole.words / whole.items)))
     weight /= np.bincount(item, weight, len(rows))[item]
     first = np.searchsorted(term, np.arange(len(terms) + 1))
     n_blocks = -(-len(rows) // BLOCK)
@@ -110,7 +141,7 @@ def build(rows: list[tuple[int, str]]) -> Index | None:
     return Index(
         np.array([i for i, _ in rows], np.int64), terms, first, item, weight,
         np.searchsorted(blocks // n_blocks, np.arange(len(terms) + 1)), blocks % n_blocks, block_weight, np.maximum.reduceat(weight, first[:-1]),
-        df > max(COMMON * len(rows), 2), bits, part(q), part(a), 2 * max(LEAST_PASSAGE, int(lengths.max())),
+        df > max(COMMON * whole.items, 2), bits, part(q), part(a), 2 * max(LEAST_PASSAGE, whole.longest),
     )
 
 
@@ -255,12 +286,12 @@ def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text") -> l
     rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-size // PART_BYTES))
-    out = []
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
-        if index := build([tuple(r) for r in part.collect()]):
-            out.append(index)
-    return out
+    if n == 1:
+        index = build([tuple(r) for r in rows.collect()])
+        return [index] if index else []
+    part = lambda k: [tuple(r) for r in rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()]
+    whole = reduce(together, (measured(part(k)) for k in range(n)))
+    return [index for k in range(n) if (index := build(part(k), whole))]
 
 
 MATCHES = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"

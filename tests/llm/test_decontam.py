@@ -117,3 +117,19 @@ def test_short_parts_are_found(world):
     texts = [f"so it goes {t} and on and on" for _, t in items[40:]] + ["who wrote about a famous play of 41", "qua and wub, zyxx"]
     found = {(p, i) for p, i, *_ in decontam.search(decontam.build(items), [t.encode() for t in texts])}
     assert found == {(p, 40 + p) for p in range(6)}
+
+
+def test_parts_give_the_results_of_the_whole(spark, world, monkeypatch):
+    items, docs, _ = world
+    halves = [(1000 + d, " ".join(t.split()[: len(t.split()) // 2 + d % 7 - 2])) for d, (_, t) in enumerate(items)]  # near the threshold
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    texts = spark.createDataFrame(docs + halves, "doc_id long, text string")
+    monkeypatch.setattr(decontam, "OVERLAP", 0.0)
+    [index] = decontam.indexes(frame)
+    found = lambda indexes: sorted((p, int(x.items[i]), round(s, 9)) for x in indexes for p, i, s, *_ in decontam.search(x, [t.encode() for _, t in docs + halves]))
+    whole, rows = found([index]), decontam.contaminated(texts, frame).count()
+    monkeypatch.setattr(decontam, "PART_BYTES", 1000)
+    parts = decontam.indexes(frame)
+    assert len(parts) > 4 and {x.passage for x in parts} == {index.passage}
+    assert found(parts) == whole and len(whole) > 50
+    assert decontam.contaminated(texts, frame).count() == rows
