@@ -120,9 +120,10 @@ def top_k(candidates: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec
         last: tuple = ()
         for b in batches:
             for row in b.to_pylist():
-                if last[:1] != (row["c_ids"],):
-                    ids, dense = _unpacked(row["c_ids"], row["c_lengths"], row["c_weights"])
-                    last = (row["c_ids"], ids, _postings(dense))
+                block = (row["c_ids"], row["c_lengths"], row["c_weights"])
+                if last[:1] != (block,):
+                    ids, dense = _unpacked(*block)
+                    last = (block, ids, _postings(dense))
                 _, ids, postings = last
                 asked, dense = _unpacked(row["q_ids"], row["q_lengths"], row["q_weights"])
                 for start in range(0, len(asked), AT_ONCE):

@@ -184,6 +184,14 @@ def test_top_k(spark, monkeypatch, blocks):
     assert got == brute(rows)
 
 
+def test_top_k_of_blocks_with_the_same_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 4)
+    rows = [(7, [0.1, 0.1])] * 4 + [(7, [0.5, 0.5])] * 4 + [(7, [2.0, 2.0])] * 4
+    candidates = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    queries = spark.createDataFrame([(5, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk.top_k(candidates, queries).collect()] == [(5, 1, 7, 2 * 512 * 256)]
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([(5, [1.0])], "vec_id long, embedding array<float>")
     assert topk.top_k(df, df).collect() == [] and topk.top_k(df.limit(0), df).collect() == [] and topk.top_k(df, df.limit(0)).collect() == []
