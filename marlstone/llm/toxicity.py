@@ -1,284 +1,411 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-A text's expressions (words) are scored letter by letter under two models, one of toxic and one
-of ordinary texts. Symbols are 32 classes of code points; the context is the four symbols
-before, back to the word's start. Both models discount their own counts and give the rest
-to one shared lower order, whose continuation counts come from all texts, labelled or not;
-so a rare expression is judged by what the whole corpus knows of its parts.
-
-The log ratio of the models is one table over all 32^5 contexts and symbols: its size is fixed,
-whatever the corpus, and so are the sizes of the counts that reach the driver. Counts cover
-all rows. The length-normalised ratio of the text, and that of its expressions above an
-ordinary level, are turned into a probability by a logistic regression on a bounded
-sample of labelled rows that the counts leave out.
-
-Defined results: null and empty texts have the ratio 0; without labelled rows of both kinds
-every score is 0; of repeated labels for one id the largest counts; repeated rows are scored alike.
+A text is a sequence of expressions: runs of letters, marks and digits, folded to lower case, every code
+point a symbol of its own; in scripts without blanks each symbol begins an expression of up to four.
+An expression is predicted symbol by symbol, and its end as well, each from all symbols before it. The toxic and the ordinary model
+discount their own counts, of texts that hold an expression, and give the rest to one shared lower order:
+Kneser-Ney over three symbols of context, whose continuation counts come from all texts, labelled or not. So a rare expression is judged by
+its known beginning and by what the whole corpus knows of its parts.
+
+Most of a toxic text is ordinary: its likelihood of an expression is the toxic model's with the weight MIXED, else the ordinary model's.
+The difference of the logarithms of both likelihoods, divided by the text's symbols, is the one number that decides; its logarithm becomes a
+probability by one slope and one intercept, fitted on labelled rows that the models have not seen.
+
+What is gathered. The shared order's counts are tables that grow with the corpus and stay distributed. The class models are fitted on
+at most LEARN_ROWS labelled rows of each class, and calibrated on at most CALIBRATE_ROWS, both chosen by a hash of
+the id; only what these rows' expressions need of the shared counts reaches the driver, and the broadcast model has as many entries as these expressions have beginnings.
+
+Defined results: a null text, and one without expressions, have the difference 0; without labelled rows of both kinds
+every score is 0; of repeated labels for one id the largest counts; texts that are alike, and so repeated rows, score alike; a score equal to the threshold is
+toxic; a run of more than 64 symbols is several expressions; columns named like the results are replaced, all others pass.
 """
 
 from __future__ import annotations
 
 import unicodedata
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import free, pieces, small_batches, tidy, zipped, zipped_pieces
+from .base import checkpointed, free, pieces, small_batches, tidy
+from .textvec import BYTE_BASE, mix, powers
 
-ORDER, BITS = 5, 5
-SYMBOLS, CODES = 1 << BITS, 1 << (BITS * ORDER)
-#: Ranges of codes that are summed together, bound of the labelled rows that calibrate, chosen among one in so many labelled rows.
-RANGES, CALIBRATE_ROWS, CALIBRATE_ONE_IN = 64, 4000, 5
-#: Nats by which an expression must exceed the ordinary level; steps of the table.
-LEVEL, STEP = 4.0, 0.05
+U = np.uint64
+#: Bounds of the labelled rows of each class that the models learn from, and of those that calibrate, chosen among one in so many.
+LEARN_ROWS, CALIBRATE_ROWS, CALIBRATE_ONE_IN = 8192, 4000, 5
+#: Counts up to DISCOUNT say nothing by themselves; the shared order's discount; the toxic model's weight in a toxic text; added before the logarithm.
+DISCOUNT, SHARED_DISCOUNT, MIXED, FLOOR = 2.0, 0.75, 0.01, 0.001
 CHUNK = 1 << 20
 THRESHOLD = 0.7
-LATIN = 0x3000
+#: Symbols of an expression, and of one in a script without blanks.
+LONGEST, DENSE_LONGEST = 64, 4
+#: Scripts without blanks: Thai to Myanmar, Khmer, kana, ideographs.
+DENSE = ((0x0E00, 0x10A0), (0x1780, 0x1800), (0x3040, 0x3100), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0x20000, 0x40000))
+BEGIN, END, SYMBOL = 0x110000, 0x110001, 21
+ROOT = U(0x1B873593CC9E2D51)
 
 
 @lru_cache(maxsize=1)
-def symbol_table() -> np.ndarray:
-    """Code point to symbol: 0 what is no letter or digit, 1-26 a-z, 27 digits, 28-31 other letters."""
-    out = np.zeros(0x110000, np.uint8)
-    for c in range(LATIN):
-        ch = chr(c).lower()[0]
-        if c < 128:
-            out[c] = ord(ch) - 96 if ch.isalpha() else 27 if ch.isdigit() else 0
-        elif ch.isalpha():
-            out[c] = 28 + (ord(ch) * 7919 % 11) % 4
-        elif ch.isdigit() or unicodedata.category(ch)[0] == "M":
-            out[c] = 27 if ch.isdigit() else 31
-    out[LATIN:] = 28 + (np.arange(LATIN, 0x110000) * 7919 % 11) % 4
-    out[0x3000:0x3030] = out[0xFE00:0xFE10] = out[0xFF00:0xFF10] = 0
-    return out
+def symbol_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: its symbol, 0 if it is none; and whether its script has no blanks."""
+    symbol, dense = np.zeros(0x110000, np.uint32), np.zeros(0x110000, bool)
+    for c in range(0x110000):
+        ch = chr(c)
+        if ch.isalnum() or unicodedata.category(ch)[0] == "M":
+            symbol[c] = ord(ch.lower()[0])
+    for a, z in DENSE:
+        dense[a:z] = True
+    return symbol, dense
+
+
+class Scan(NamedTuple):
+    """Expressions of several texts: running sums for hashes, symbols, first place and number of symbols of each, each text's range of them."""
+
+    sums: np.ndarray
+    symbols: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    bounds: np.ndarray
+
+
+def _sums(symbols: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, U), np.cumsum(mix(symbols.astype(U) + U(1)) * powers(BYTE_BASE, len(symbols))[0], dtype=U)])
+
+
+def scan(texts: list[str]) -> Scan:
+    symbol, dense = symbol_tables()
+    points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    s, d = symbol[points], dense[points]
+    inside = s != 0
+    kind = inside.astype(np.int8) + (inside & d)
+    edges = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1], True])  # runs of one kind
+    run = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    at = np.arange(len(s)) - edges[run]
+    starts = np.flatnonzero(inside & (d | (at % LONGEST == 0)))
+    sizes = np.minimum(edges[run[starts] + 1] - starts, np.where(d[starts], DENSE_LONGEST, LONGEST))
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return Scan(_sums(s), s, starts, sizes, np.searchsorted(starts, np.r_[0, ends]))
 
 
-def scan(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code of each symbol in its context, the symbols, and each text's range of them; words end in a 0."""
-    s = symbol_table()[np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)]
-    keep = s != 0
-    keep[1:] |= keep[:-1].copy()
-    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    bounds = np.concatenate([[0], np.cumsum(keep)[ends - 1]])
-    s = s[keep]
-    code = s.astype(np.uint32)
-    before = s
-    for i in range(1, ORDER):  # up to the word's start
-        shifted = np.zeros_like(s)
-        shifted[i:] = s[:-i]
-        before = np.where(before != 0, shifted, 0) if i > 1 else shifted
-        code |= before.astype(np.uint32) << np.uint32(BITS * i)
-    return code, s, bounds
-
-
-# Counting
-
-def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(codes, kind="stable")
-    codes, counts = codes[order], counts[order]
-    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.empty(0, np.int64)
-    return codes[first], np.add.reduceat(counts, first, axis=0, dtype=counts.dtype) if len(codes) else counts
-
-
-def _counted(codes: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray]:
-    codes = np.sort(codes)
-    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.empty(0, np.int64)
-    out = np.zeros((len(first), 3), np.int32)
-    out[:, column] = np.diff(np.r_[first, len(codes)])
-    return codes[first], out
-
-
-def counts(labelled: DataFrame) -> DataFrame:
-    """(range, codes, n) blobs of the sums over rows (text, zipped, and toxic): in all texts, in ordinary and in toxic ones."""
-    blob = "range int, codes binary, n binary"
-
-    def out(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edges = np.searchsorted(codes, np.arange(RANGES + 1) * (CODES // RANGES))
-        for i in range(RANGES):
-            if edges[i] < edges[i + 1]:
-                part = slice(edges[i], edges[i + 1])
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([codes[part].astype(np.uint32).tobytes()], pa.binary()), pa.array([n[part].astype(np.int64).tobytes()], pa.binary())], names=["range", "codes", "n"])
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in batches:
-            kinds = b.column(1).to_numpy(zero_copy_only=False)
-            for a, z, texts in zipped_pieces(b.column(0), CHUNK):
-                code, _, bounds = scan([t.decode() for t in texts])
-                kind = np.repeat(kinds[a:z], np.diff(bounds))
-                held += [_counted(code, 0), _counted(code[kind == 0], 1), _counted(code[kind == 1], 2)]
-                if sum(len(x) for x, _ in held) > 1 << 20:
-                    held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-        if held:
-            yield from out(*_summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
+def _hashes(sums: np.ndarray, starts: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """Of the first so many symbols from each start."""
+    down = powers(BYTE_BASE, len(sums))[1]
+    return mix((sums[starts + size] - sums[starts]) * down[starts] + np.asarray(size).astype(U) * U(0xC2B2AE3D27D4EB4F))
+
+
+def _ended(hashes: np.ndarray) -> np.ndarray:
+    return mix(hashes ^ U(0x5851F42D4C957F2D))
+
+
+def distinct(x: Scan) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first of equal expressions, and for each expression which of these it is."""
+    _, first, which = np.unique(_hashes(x.sums, x.starts, x.sizes), return_index=True, return_inverse=True)
+    return first, which
+
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def grams(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(high, low) of the five symbols up to each symbol of the expressions and to their ends, 21 bits a symbol, three of them in low."""
+    owner = np.repeat(np.arange(len(starts)), sizes + 1)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
+    place = starts[owner] + at
+    out = []
+    for back in range(4, -1, -1):
+        own = symbols[np.clip(place - back, 0, len(symbols) - 1)].astype(np.int64)
+        own[at - back < 0] = BEGIN
+        if back == 0:
+            own[at == sizes[owner]] = END
+        out.append(own)
+    return out[0] << SYMBOL | out[1], out[2] << 2 * SYMBOL | out[3] << SYMBOL | out[4]
+
+
+# The shared lower order
+
+#: Expressions that a task remembers in order not to take them apart again; beyond, it begins anew.
+KNOWN = 1 << 20
+
+
+def _unique(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    new = np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])] if len(high) else np.empty(0, bool)
+    return high[new], low[new]
+
+
+def kinds(texts: DataFrame) -> DataFrame:
+    """(high, low): the kinds of five symbols in a row in all texts, of each task; a column of strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        known, total = np.empty(0, U), 0  # expressions of the task, sorted
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in _unique(*(np.concatenate(c) for c in zip(*held, strict=True)))], names=["high", "low"])
+
         for b in batches:
-            for codes, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                held.append((np.frombuffer(codes, np.uint32), np.frombuffer(n, np.int64).reshape(-1, 3)))
-                if sum(len(x) for x, _ in held) > 1 << 20:
-                    held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            column = b.column(0).to_pylist()
+            for a, z in pieces((len(t or "") for t in column), CHUNK):
+                x = scan([t or "" for t in column[a:z]])
+                if not len(x.starts):
+                    continue
+                hashes, first = np.unique(_hashes(x.sums, x.starts, x.sizes), return_index=True)
+                new = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] != hashes if len(known) else np.ones(len(hashes), bool)
+                first = first[new]
+                held.append(_unique(*grams(x.symbols, x.starts[first], x.sizes[first])))
+                known = np.sort(np.concatenate([known, hashes[new]])) if len(known) < KNOWN else hashes
+                total += len(held[-1][0])
+                if total > 1 << 20:
+                    yield out()
+                    held.clear()
+                    total = 0
         if held:
-            yield from out(*_summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
-
-    rows = labelled.select(F.col("text"), F.coalesce(F.col("toxic").cast("int"), F.lit(-1)).alias("toxic"))
-    return rows.mapInArrow(local, blob).repartition("range").mapInArrow(total, blob)
-
-
-# The models
-
-def _interpolated(n: np.ndarray, lower: np.ndarray, discount: float) -> np.ndarray:
-    """Rows of n discounted, the rest going to lower; a row without counts is lower."""
-    total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-    some = np.maximum(total, 1)
-    return np.where(total > 0, np.maximum(n - discount, 0) / some + discount * kinds / some * lower, lower)
-
-
-def _discount(n: np.ndarray) -> float:
-    one, two = int((n == 1).sum()), int((n == 2).sum())
-    return one / (one + 2 * two) if one else 0.5
-
-
-def log_ratio(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The table of log P_toxic - log P_ordinary in steps of STEP, from all codes' counts (sorted)."""
-    lower_codes = CODES >> BITS
-    kinds = np.bincount(codes & np.uint32(lower_codes - 1), minlength=lower_codes).astype(float)
-    by_order = [kinds]
-    while len(by_order[-1]) > SYMBOLS:
-        by_order.append((by_order[-1].reshape(SYMBOLS, -1) > 0).sum(0).astype(float))
-    p = (by_order[-1] + 0.5) / (by_order[-1] + 0.5).sum()
-    for kinds in by_order[-2::-1]:
-        kinds = kinds.reshape(-1, SYMBOLS)
-        p = _interpolated(kinds, np.tile(p.reshape(-1, SYMBOLS), (len(kinds) // max(1, p.size // SYMBOLS), 1)), 0.75).ravel()
-    shared = p  # of a symbol after three
-    context, rest = codes >> np.uint32(BITS), []
-    logs = np.zeros(len(codes))
-    for column, sign in ((1, -1), (2, 1)):
-        own = n[:, column]
-        d = _discount(own)
-        total = np.bincount(context, own, CODES >> BITS)
-        kinds = np.bincount(context, own > 0, CODES >> BITS)
-        left = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-        rest.append(sign * np.log(left))
-        logs += sign * np.log(np.maximum(own - d, 0) / np.maximum(total[context], 1) + left[context] * shared[codes & np.uint32(lower_codes - 1)])
-    steps = lambda x: np.clip(np.rint(x / STEP), -127, 127).astype(np.int8)
-    table = np.repeat(steps(rest[0] + rest[1]), SYMBOLS)  # unseen after this context: only the backoff weights differ
-    table[codes] = steps(logs)
-    return table
-
-
-FEATURES = 4
-
-
-def features(table: np.ndarray, texts: list[str | None]) -> np.ndarray:
-    """For each text: the mean log ratio of its symbols; of its words' sums, what exceeds LEVEL, in all and by word; the largest."""
-    out = np.zeros((len(texts), FEATURES))
+            yield out()
+        tidy()
+
+    return texts.mapInArrow(run, "high long, low long")
+
+
+def shared(texts: DataFrame, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """P(symbol | three before) of the shared order, for the four last symbols of each (high, low), bounded in number; counts cover all texts."""
+    spark = texts.sparkSession
+    mask = lambda n: F.lit((1 << n * SYMBOL) - 1)
+    four = checkpointed(kinds(texts).distinct().groupBy(F.col("high").bitwiseAND(mask(1)).alias("a"), "low").agg(F.count("*").alias("n")))
+    three = four.groupBy("low").agg(F.count("*").alias("n"))
+    two = three.groupBy(F.col("low").bitwiseAND(mask(2)).alias("low")).agg(F.count("*").alias("n"))
+    one = two.groupBy(F.col("low").bitwiseAND(mask(1)).alias("low")).agg(F.count("*").alias("n"))
+    own = high & ((1 << SYMBOL) - 1)
+    asked = np.unique(np.stack([own, low], 1), axis=0)
+    need = spark.createDataFrame(pa.table({"a": asked[:, 0], "low": asked[:, 1]}))
+    before = F.shiftright("low", SYMBOL)
+    sums = (F.sum("n").alias("t"), F.count("*").alias("k"))
+
+    def looked_up(table: DataFrame, keys: list[Column], names: list[str], wanted: list[Column], values: list[str]) -> dict[tuple[int, ...], tuple[int, ...]]:
+        ask = F.broadcast(need.select(*(c.alias(n) for c, n in zip(wanted, names, strict=True))).distinct())
+        rows = table.select(*(c.alias(n) for c, n in zip(keys, names, strict=True)), *values).join(ask, names).toArrow()
+        columns = [rows.column(n).to_pylist() for n in names]
+        return dict(zip(zip(*columns, strict=True), zip(*(rows.column(v).to_pylist() for v in values), strict=True), strict=True))
+
+    a, c = F.col("a"), F.col("low")
+    levels = []
+    for table, keep, with_a in ((four, 3, True), (three, 3, False), (two, 2, False), (one, 1, False)):
+        last = c.bitwiseAND(mask(keep))
+        lead, names = ([a], ["x", "y"]) if with_a else ([], ["y"])
+        n = looked_up(table, [*lead, c], names, [*lead, last], ["n"])
+        if keep == 1:
+            totals = table.agg(*sums).first()
+            levels.append((n, {(): (totals["t"], totals["k"])}, keep, with_a))
+            continue
+        contexts = table.groupBy(*(x.alias(m) for x, m in zip([*lead, before], names, strict=True))).agg(*sums)
+        t = looked_up(contexts, [F.col(m) for m in names], names, [*lead, F.shiftright(last, SYMBOL)], ["t", "k"])
+        levels.append((n, t, keep, with_a))
+    p: dict[tuple[int, int], float] = {}
+    for x, y in asked.tolist():
+        value = 0.0
+        for n, t, keep, with_a in reversed(levels):
+            last = y & ((1 << keep * SYMBOL) - 1)
+            count = n.get((x, last) if with_a else (last,), (0,))[0]
+            if keep == 1:
+                total, number = t[()]
+                value = (count + 0.5) / (total + 0.5 * (number + 1))
+                continue
+            total, number = t.get((x, last >> SYMBOL) if with_a else (last >> SYMBOL,), (0, 0))
+            if total:
+                value = max(count - SHARED_DISCOUNT, 0) / total + SHARED_DISCOUNT * number / total * value
+        p[x, y] = value
+    return np.array([p[k] for k in zip(own.tolist(), low.tolist(), strict=True)])
+
+
+# The class models
+
+class Beginnings(NamedTuple):
+    """Of the learned expressions' beginnings: hashes in order; the log ratio of the models up to there, and what a symbol unseen after it adds."""
+
+    hashes: np.ndarray
+    ratios: np.ndarray
+    rests: np.ndarray
+    root: float  # what an unseen first symbol adds
+
+
+def beginnings(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, p: np.ndarray) -> Beginnings:
+    """From distinct expressions, in how many texts of each class they are, and the shared order's P for each of their grams()."""
+    sums = _sums(symbols)
+    owner = np.repeat(np.arange(len(starts)), sizes + 1)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
+    ends = at == sizes[owner]
+    own = _hashes(sums, starts[owner], np.minimum(at + 1, sizes[owner]))
+    own[ends] = _ended(own[ends])
+    before = np.where(at == 0, ROOT, _hashes(sums, starts[owner], at))
+    hashes, first, which = np.unique(own, return_index=True, return_inverse=True)
+    contexts, context = np.unique(before[first], return_inverse=True)
+    log_p, log_rest = [], []
+    for n in (np.bincount(which, c[owner]) for c in (toxic, ordinary)):
+        total, kept = np.bincount(context, n), np.bincount(context, np.minimum(n, DISCOUNT))
+        rest = np.where(total > 0, kept / np.maximum(total, 1), 1.0)
+        log_p.append(np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[context] + rest[context] * p[first]))
+        log_rest.append(np.log(rest))
+    step, rest = log_p[0] - log_p[1], log_rest[0] - log_rest[1]
+    ratios, level = np.zeros(len(hashes)), at[first]
+    parent = np.searchsorted(hashes, contexts)[context]  # of first symbols none, see below
+    for depth in range(int(level.max(initial=-1)) + 1):
+        here = np.flatnonzero(level == depth)
+        ratios[here] = step[here] + (ratios[parent[here]] if depth else 0)
+    rests, place = np.zeros(len(hashes)), np.searchsorted(hashes, contexts)
+    real = contexts != ROOT
+    rests[place[real]] = rest[real]
+    return Beginnings(hashes, ratios.astype(np.float32), rests.astype(np.float32), float(rest[~real][0]) if len(contexts) else 0.0)
+
+
+def ratios_of(model: Beginnings, x: Scan, first: np.ndarray) -> np.ndarray:
+    """log P_toxic - log P_ordinary of the expressions at these places."""
+    starts, sizes = x.starts[first], x.sizes[first]
+    out = np.full(len(first), model.root)
+    active = np.arange(len(first))
+    for depth in range(1, LONGEST + 2):  # as long as the beginning is known
+        if not len(active):
+            break
+        ended = sizes[active] < depth
+        h = _hashes(x.sums, starts[active], np.minimum(depth, sizes[active]))
+        h[ended] = _ended(h[ended])
+        at = np.minimum(np.searchsorted(model.hashes, h), len(model.hashes) - 1)
+        known = model.hashes[at] == h
+        out[active[known]] = model.ratios[at[known]] + np.where(ended[known], 0, model.rests[at[known]])
+        active = active[known & ~ended]
+    return out
+
+
+def differences(model: Beginnings, texts: list[str | None]) -> np.ndarray:
+    """For each text, log P_toxic - log P_ordinary by symbol, where P_toxic of an expression is mixed."""
+    out = np.zeros(len(texts))
     for a, z in pieces((len(t or "") for t in texts), CHUNK):
-        code, s, bounds = scan([t or "" for t in texts[a:z]])
-        if not len(code):
+        x = scan([t or "" for t in texts[a:z]])
+        if not len(x.starts):
             continue
-        r = table[code].astype(np.float32) * np.float32(STEP)
-        ends = np.flatnonzero(s == 0)
-        words = np.add.reduceat(r, np.r_[0, ends[:-1] + 1])
-        rows = np.flatnonzero(np.diff(bounds))
-        first = np.searchsorted(ends, bounds[rows])  # each text's first word
-        number = np.diff(np.r_[first, len(words)])
-        excess = np.add.reduceat(np.maximum(words - np.float32(LEVEL), 0), first)
-        out[a + rows, 0] = np.add.reduceat(r, bounds[rows]) / np.diff(bounds)[rows]
-        out[a + rows, 1] = np.log1p(excess)
-        out[a + rows, 2] = np.log1p(10 * excess / number)
-        out[a + rows, 3] = np.clip(np.maximum.reduceat(words, first), 0, 20) / 10
+        first, which = distinct(x)
+        gain = np.log1p(MIXED * np.expm1(np.minimum(ratios_of(model, x, first), 50.0)))
+        rows = np.flatnonzero(np.diff(x.bounds))
+        at = x.bounds[rows]
+        out[a + rows] = np.add.reduceat(gain[which], at) / np.add.reduceat(x.sizes + 1, at)
     return out
 
 
 class Model(NamedTuple):
-    table: bytes  # squeezed
-    weights: np.ndarray  # and intercept
+    blob: bytes  # Beginnings, squeezed
+    root: float
+    slope: float
+    intercept: float
 
 
-def squeezed(table: np.ndarray) -> bytes:
-    """The table for broadcasts: most contexts were never seen, so that it shrinks to about the seen ones."""
-    return zlib.compress(table.tobytes(), 1)
+def squeezed(model: Beginnings) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(model.hashes, prepend=U(0)).tobytes() + model.ratios.tobytes() + model.rests.tobytes())
 
 
 @lru_cache(maxsize=1)
-def unsqueezed(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), np.int8)
-
-
-def calibrated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression with a little ridge, by Newton's method; the intercept last."""
-    x = np.c_[x, np.ones(len(x))]
-    w, ridge = np.zeros(x.shape[1]), np.diag([0.02] * (x.shape[1] - 1) + [1e-6])
-    for _ in range(50):
+def unsqueezed(blob: bytes, root: float) -> Beginnings:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = len(data) // 16
+    return Beginnings(np.cumsum(np.frombuffer(data, U, n), dtype=U), np.frombuffer(data, np.float32, n, 8 * n), np.frombuffer(data, np.float32, n, 12 * n), root)
+
+
+def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of a logistic regression with a little ridge, by Newton's method."""
+    middle, width = x.mean(), x.std() or 1.0
+    x = np.c_[(x - middle) / width, np.ones(len(x))]
+    w, ridge = np.zeros(2), np.diag([1e-3, 1e-6])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + ridge
         step = np.linalg.solve(h, x.T @ (p - y) + ridge @ w)
         w = w - step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
-    return w
+    return float(w[0] / width), float(w[1] - w[0] * middle / width)
 
 
 def scores(model: Model | None, texts: list[str | None]) -> np.ndarray:
     if model is None:
         return np.zeros(len(texts))
-    x = features(unsqueezed(model.table), texts)
-    return 1 / (1 + np.exp(-np.clip(x @ model.weights[:-1] + model.weights[-1], -30, 30)))
+    x = np.log(np.maximum(differences(unsqueezed(model.blob, model.root), texts), 0) + FLOOR)
+    return 1 / (1 + np.exp(-np.clip(model.slope * x + model.intercept, -30, 30)))
+
+
+def _chosen(known: DataFrame, salt: int, most: int) -> dict[object, int]:
+    """At most that many of the labelled rows (_k, toxic), by a hash of the id."""
+    return {r["_k"]: r["toxic"] for r in known.orderBy(F.xxhash64(F.col("_k").cast("string"), F.lit(salt)), "_k").limit(most).collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model | None:
-    """Counts over all of docs; labels only of the rows for which learn (over key) holds."""
+    """The shared order from all of docs; labels only of the rows for which learn (over key) holds."""
+    spark = docs.sparkSession
+    small_batches(docs)
     known = labels.where(learn & F.col(toxic).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(F.when(F.col(toxic) > 0, 1).otherwise(0)).alias("toxic"))
     held = F.pmod(F.xxhash64(F.col("_k").cast("string"), F.lit(11)), F.lit(CALIBRATE_ONE_IN)) == 0
-    chosen = {r["_k"]: r["toxic"] for r in known.where(held).orderBy(F.xxhash64(F.col("_k").cast("string"), F.lit(12)), "_k").limit(CALIBRATE_ROWS).collect()}
-    counted = known.where(~F.col("_k").isin(list(chosen))) if chosen else known
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("text"))
-    small_batches(docs)
-    # labels grow with the documents: the join is by sorting at every size
-    blobs = counts(zipped(rows, "text").join(counted.hint("merge"), "_k", "left")).collect()  # at most 2^25 codes
-    if not blobs:
+    calibrate = _chosen(known.where(held), 12, CALIBRATE_ROWS)
+    rest = known.where(~F.col("_k").isin(list(calibrate))) if calibrate else known
+    learned = _chosen(rest.where("toxic = 0"), 13, LEARN_ROWS) | _chosen(rest.where("toxic = 1"), 13, LEARN_ROWS)
+    if len(set(learned.values())) < 2:
         return None
-    codes = np.concatenate([np.frombuffer(b["codes"], np.uint32) for b in blobs])
-    n = np.concatenate([np.frombuffer(b["n"], np.int64).reshape(-1, 3) for b in blobs])
-    del blobs
-    if not n[:, 1].any() or not n[:, 2].any():
-        return None
-    order = np.argsort(codes)
-    table = squeezed(log_ratio(codes[order], n[order]))
-    del codes, n, order
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("text"))
+    use = calibrate if len(set(calibrate.values())) == 2 else learned  # too few rows to spare some
+    asked = spark.createDataFrame([(k, v) for k, v in learned.items()], known.schema)
+    sample = rows.join(F.broadcast(asked), "_k").select("text", "toxic")  # bounded by LEARN_ROWS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def expressions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = features(unsqueezed(shared.value), b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, i]) for i in range(FEATURES))], names=["k", *(f"x{i}" for i in range(FEATURES))])
+            texts, classes = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
+            for a, z in pieces((len(t or "") for t in texts), CHUNK):
+                x = scan([t or "" for t in texts[a:z]])
+                if not len(x.starts):
+                    continue
+                first, which = distinct(x)
+                owner = np.repeat(np.arange(z - a), np.diff(x.bounds))
+                pairs = np.unique(owner * len(first) + which)  # an expression counts once in a text
+                word, kind = pairs % len(first), classes[a:z][pairs // len(first)]
+                own = [x.symbols[s : s + n].astype("<u4").tobytes().decode("utf-32-le") for s, n in zip(x.starts[first].tolist(), x.sizes[first].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), *(pa.array(np.bincount(word[kind == k], minlength=len(first)).astype(np.int64)) for k in (0, 1))], names=["word", "n0", "n1"])
+        tidy()
 
-    sample = rows.where(F.col("_k").isin(list(chosen))).select(F.col("_k").cast("long").alias("k"), "text").mapInArrow(run, "k long, " + ", ".join(f"x{i} double" for i in range(FEATURES))).collect() if chosen else []
-    sample = sorted(tuple(r) for r in sample)
-    y = np.array([chosen[r[0]] for r in sample], float)
-    if len(set(y.tolist())) < 2:  # too few labelled rows to calibrate on: the usual level of one clear expression
-        return Model(table, np.array([0.0, 2.0, 0.0, 2.0, -6.0]))
-    return Model(table, calibrated(np.array([r[1:] for r in sample]), y))
+    counted = sample.mapInArrow(expressions, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    words = counted.column("word").to_pylist()
+    n0, n1 = (counted.column(c).to_numpy().astype(float) for c in ("n0", "n1"))
+    if not n0.any() or not n1.any():
+        return None
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    symbols = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    starts = np.cumsum(sizes) - sizes
+    p = shared(rows.select("text"), *grams(symbols, starts, sizes))
+    model = beginnings(symbols, starts, sizes, n0, n1, p)
+    plain = Model(squeezed(model), model.root, 1.0, 0.0)
+    shipped = spark.sparkContext.broadcast(plain)
+    targets = spark.createDataFrame([(k, v) for k, v in use.items()], known.schema)
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = differences(unsqueezed(shipped.value.blob, shipped.value.root), b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(x), b.column(1)], names=["x", "toxic"])
+
+    found = rows.join(F.broadcast(targets), "_k").select("text", "toxic").mapInArrow(differ, "x double, toxic int").toArrow()
+    x, y = found.column("x").to_numpy(), found.column("toxic").to_numpy().astype(float)
+    if len(set(y.tolist())) < 2:
+        return None
+    order = np.lexsort((y, x))  # the same sums in any order of the rows
+    return Model(plain.blob, plain.root, *calibrated(np.log(np.maximum(x[order], 0) + FLOOR), y[order]))
 
 
 def score(df: DataFrame, model: Model | None, text: str = "text", keep_text: bool = False, threshold: float = THRESHOLD) -> DataFrame:
     """Adds score and predicted to every row; drops the text unless asked to keep it."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # 34 MB at most, whatever the input
+    shipped = df.sparkSession.sparkContext.broadcast(model)  # bounded by the rows that are learned from
     small_batches(df)
     kept = [c for c in df.columns if c not in ("score", "predicted") and (keep_text or c != text)]
-    rows = df.select(*(F.col(f"`{c}`") for c in kept), F.col(text).cast("string").alias(free(df, "_text")))
+    rows = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").alias(free(df, "_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = scores(shared.value, b.column(b.num_columns - 1).to_pylist())
+            p = scores(shipped.value, b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
         unsqueezed.cache_clear()  # a worker lives on after the task
         tidy()
