@@ -4,10 +4,14 @@ The standard library's parser gives a stream of events, from which a page's bloc
 are built as they come. A line's text-to-tag ratio is its characters for each tag in it;
 the ratios are smoothed with a Gaussian over the lines of the page, and lines above the
 page's threshold (the standard deviation of the smoothed ratios) form the content cluster.
-Regions (article and main elements, otherwise the block's container) that hold lines of
-the cluster are selected, whole: a short line in a region is content like its neighbours.
-Lines inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments are never content.
+Regions that hold lines of the cluster are selected, whole: article and main elements; on a page without any, the innermost container with
+four fifths of the cluster's characters. A short line, a heading or a link in a region is content like its neighbours.
+
+Never content, in a region or not, is text inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
+and reader comments: this is decided for each piece of text by the elements around it, told by their tags, roles, and names (class and id).
+Names of headings, and of article, main, body and html, tell nothing; a header inside of a region is the article's own. What surrounds a whole article
+counts only if it is closed after it (a menu that was left open ends where the article begins), and not if it surrounds all articles. Outside of regions, lists and
+lines of nothing but links are menus.
 
 Defined results: null or empty html has an empty text; markup that never closes ends with the
 page; repeated rows are extracted alike; other columns pass.
@@ -31,108 +35,163 @@ CHUNK = 8 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split())
-EXCLUDED = frozenset("aside button canvas datalist dialog footer form head header iframe menu nav noscript object audio video map math option script search select style svg template textarea title".split())
+EXCLUDED = frozenset("applet aside audio button canvas datalist dialog footer form frameset head header iframe map menu nav noembed noframes noscript object option script search select style svg template textarea title video".split())
 REGION = frozenset(("article", "main"))
 CONTAINER = frozenset("body section div td blockquote center".split())
+LISTS = frozenset("ul ol dl dir".split())
+IN_HEAD = frozenset("head title base link meta style script noscript template".split())
 #: Tags whose start ends an open element of the second set, if no element of the third stands between.
 ENDS = {"p": ("p", None), "li": ("li", {"ul", "ol", "menu"}), "td": ("td", {"table"}), "th": ("td", {"table"}), "tr": ("tr", {"table"}), "dt": ("dd", {"dl"}), "dd": ("dt", {"dl"}), "option": ("option", {"select"})}
-#: Words of class, id and role that mark what is not the article.
-MARKS = frozenset("ad ads adbox adslot advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promoted promotion related replies reply respond search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
+#: Elements whose names say nothing.
+UNNAMED = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
+#: A name marks what is not the article if it begins or ends with one of these words.
+MARKS = frozenset("ad ads adbox adslot advert adverts advertisement advertising advertorial breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter popup promo promoted sidebar signup skyscraper sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
+#: Or if it has one of these, and no words but them and those of the next line.
+WEAK = frozenset("banner header login notice notices notification notifications promotion related replies reply respond search share sharing social".split())
+BESIDE = frozenset("alert area articles bar block bottom box button buttons container content form global icons items links list main message page posts section site stories tools top wrapper".split())
+#: Names that begin so tell of a layout.
+LAYOUT = frozenset("has no with without".split())
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 _PARTS = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_HIDDEN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+
+
+class Element:
+    """An open element: what excludes its text (elements around it, or itself), and around the region it stands in; region, container, list and whether in a link."""
+
+    __slots__ = ("around", "closed", "container", "excluded", "link", "list", "region", "tag")
+
+    def __init__(self, tag: str, parent: "Element | None"):
+        self.tag, self.closed = tag, False
+        if parent is None:
+            self.excluded, self.around, self.region, self.container, self.list, self.link = (), (), 0, 0, 0, 0
+        else:
+            self.excluded, self.around, self.region, self.container, self.list, self.link = parent.excluded, parent.around, parent.region, parent.container, parent.list, parent.link
 
 
 class Line:
-    """A block of text: its words, its tags, the characters inside links, and where it stands."""
+    """A block of text: its words, its tags, how many characters and how many of them in links, the links, and where it stands."""
+
+    __slots__ = ("around", "chars", "container", "linked", "links", "list", "region", "tags", "text")
+
+    def __init__(self, text: str, tags: int, chars: int, linked: int, links: int, at: Element):
+        self.text, self.tags, self.chars, self.linked, self.links = text, tags, chars, linked, links
+        self.around, self.region, self.container, self.list = at.around, at.region, at.container, at.list
 
-    __slots__ = ("container", "excluded", "linked", "region", "tags", "text")
 
-    def __init__(self, text: str, tags: int, linked: int, excluded: bool, region: int, container: int):
-        self.text, self.tags, self.linked, self.excluded, self.region, self.container = text, tags, linked, excluded, region, container
+def _name_marks(name: str) -> bool:
+    words = [w for w in _PARTS.split(_CAMEL.sub("-", name).lower()) if w and not w.isdigit()]
+    if not words or words[0] in LAYOUT:
+        return False
+    return words[0] in MARKS or words[-1] in MARKS or not WEAK.isdisjoint(words) and all(w in WEAK or w in BESIDE for w in words)
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _excludes(tag: str, attrs: list[tuple[str, str | None]], region: int) -> bool:
+    """Whether an element's text is not the article's; region: whether in one."""
+    if tag in EXCLUDED and not (tag == "header" and region):
+        return True
     for name, value in attrs:
-        if value and name in ("class", "id", "role") and tag not in ("body", "html", "article", "main"):
-            if not MARKS.isdisjoint(_PARTS.split(_CAMEL.sub("-", value).lower())):
-                return True
-        elif name == "hidden" or name == "aria-hidden" and value == "true":
+        if name == "hidden" or name == "aria-hidden" and (value or "").lower() == "true" or name == "style" and _HIDDEN.search(value or ""):
+            return True
+        if name == "role" and not ROLES.isdisjoint((value or "").lower().split()):
             return True
+        if value and name in ("class", "id") and tag not in UNNAMED:
+            names = value.split()
+            if tag == "header" or region:
+                names = [n for n in names if n.lower() != "header"]
+            if any(_name_marks(n) for n in names):
+                return True
     return False
 
 
 class Lines(HTMLParser):
-    """The events of one page as Lines."""
+    """The events of one page as Lines; parents has the container around each container."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.serial = self.links = 0
-        #: Open elements: tag, whether excluded, region, container.
-        self.open: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]
+        self.tags = self.chars = self.linked = self.links = self.serial = 0
+        self.parents: dict[int, int] = {}
+        self.open: list[Element] = [Element("", None)]
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, excluded, region, container = self.open[-1]
-                self.lines.append(Line(text, self.tags, self.linked, excluded, region, container))
+                self.lines.append(Line(text, self.tags, self.chars, self.linked, self.links, self.open[-1]))
             self.parts.clear()
-        self.tags = self.linked = 0
+        self.tags = self.chars = self.linked = self.links = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.flush()
         self.tags += 1
         if tag in VOID:
-            if tag == "br":
+            if tag == "br" and not self.open[-1].excluded:
                 self.parts.append(" ")
             return
-        if tag in REGION:  # a menu or notice that was left open ends here
-            while self.open[-1][1] and self.open[-1][0] not in REGION and not any(t in REGION for t, *_ in self.open):
-                self.open.pop()
+        if tag in BLOCK and tag not in IN_HEAD:  # a head that was left open ends here
+            for at in range(len(self.open) - 1, 0, -1):
+                if self.open[at].tag == "head":
+                    del self.open[at:]
+                    break
         if tag in ENDS:
             own, between = ENDS[tag]
             for at in range(len(self.open) - 1, 0, -1):
-                name = self.open[at][0]
+                name = self.open[at].tag
                 if name == own or name == tag:
                     del self.open[at:]
                     break
                 if (between or BLOCK) and name in (between or BLOCK):
                     break
-        _, excluded, region, container = self.open[-1]
+        element = Element(tag, self.open[-1])
         self.serial += 1
-        excluded = excluded or tag in EXCLUDED and not (tag == "header" and region) or _marked(tag, attrs)
-        if tag in REGION:
-            region = region or self.serial
+        if _excludes(tag, attrs, element.region):
+            element.excluded += (element,)
+        if tag in REGION and not element.region:
+            element.region, element.around, element.excluded = self.serial, element.excluded, tuple(e for e in element.excluded if e is element)
         if tag in REGION or tag in CONTAINER:
-            container = self.serial
-        self.open.append((tag, excluded, region, container))
+            self.parents[self.serial] = element.container
+            element.container = self.serial
+        if tag in LISTS:
+            element.list = self.serial
+        if tag == "a":
+            element.link = self.serial
+            self.links += not element.excluded
+        self.open.append(element)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
         self.tags += 1
         for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] == tag:
+            name = self.open[at].tag
+            if name == tag:
+                self.open[at].closed = True
                 del self.open[at:]
                 return
-            if tag not in BLOCK and self.open[at][0] in BLOCK:
+            if name in BLOCK and tag not in BLOCK or name in REGION and tag not in ("body", "html", *REGION):
                 return
 
     def handle_data(self, data: str) -> None:
+        at = self.open[-1]
+        if at.excluded:
+            return
         self.parts.append(data)
-        if self.open[-1][0] == "a":
-            self.linked += len(data.strip())
+        size = len("".join(data.split()))
+        self.chars += size
+        if at.link:
+            self.linked += size
 
 
-def parsed(html: str) -> list[Line]:
+def parsed(html: str) -> Lines:
     p = Lines()
     p.feed(html)
     p.close()
     p.flush()
-    return p.lines
+    return p
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -143,19 +202,56 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return over(ratios) / over(np.ones(len(ratios)))
 
 
-def content(lines: list[Line]) -> list[Line]:
+def _menus(lines: list[Line]) -> set[int]:
+    """Of lines outside of regions, the places of those that are menus: of several links and nothing else, or in a list of such."""
+    whole = [x.linked == x.chars for x in lines]
+    items: dict[int, list[int]] = {}
+    for i, x in enumerate(lines):
+        if x.list:
+            items.setdefault(x.list, []).append(i)
+    out = {i for i, x in enumerate(lines) if whole[i] and x.links > 1}
+    for rows in items.values():
+        if len(rows) > 1 and all(whole[i] for i in rows):
+            out.update(rows)
+    return out
+
+
+def _innermost(cluster: list[Line], parents: dict[int, int]) -> set[int]:
+    """The containers inside of the innermost one with four fifths of the cluster's characters, with it."""
+    held: dict[int, int] = {}
+    for x in cluster:
+        at = x.container
+        while at:
+            held[at] = held.get(at, 0) + x.chars
+            at = parents[at]
+    total = sum(x.chars for x in cluster)
+    best = max((c for c, n in held.items() if 5 * n >= 4 * total), default=0)  # of nested ones the last to begin
+    inside = {best}
+    for c in sorted(parents):
+        if parents[c] in inside:
+            inside.add(c)
+    return inside
+
+
+def content(page: Lines) -> list[Line]:
     """The lines of the selected regions, in page order."""
-    allowed = [x for x in lines if not x.excluded]
-    if not allowed:
+    lines = page.lines
+    if not lines:
         return []
-    ratios = np.array([(0 if x.excluded else len(x.text) - x.linked) / (1 + x.tags) for x in lines], float)
+    out = {i for i, x in enumerate(lines) if any(e.closed for e in x.around)}
+    if all(i in out for i, x in enumerate(lines) if x.region):
+        out = set()  # what surrounds all articles says nothing
+    free_lines = [i for i, x in enumerate(lines) if not x.region]
+    out |= {free_lines[i] for i in _menus([lines[i] for i in free_lines])}
+    ratios = np.array([0 if i in out else (x.chars - x.linked) / (1 + x.tags) for i, x in enumerate(lines)], float)
     smooth = smoothed(ratios)
     threshold = float(np.std(smooth))
-    cluster = [x for x, s in zip(lines, smooth, strict=True) if s >= threshold and not x.excluded and 2 * x.linked <= len(x.text)]
+    allowed = [x for i, x in enumerate(lines) if i not in out]
+    cluster = [x for i, (x, s) in enumerate(zip(lines, smooth, strict=True)) if s >= threshold and i not in out and 2 * x.linked <= x.chars]
     if regions := {x.region for x in cluster if x.region} or {x.region for x in allowed if x.region}:
         return [x for x in allowed if x.region in regions]
-    chosen = {x.container for x in cluster}
-    return [x for x in allowed if x.container in chosen and 2 * x.linked <= len(x.text)]
+    inside = _innermost(cluster, page.parents)
+    return [x for x in allowed if x.container in inside]
 
 
 def main_text(html: str | None) -> str:
