@@ -4,6 +4,7 @@ import hashlib
 import html
 import math
 import os
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -158,30 +159,52 @@ def test_pages(spark):
 # Top-k
 
 
-def brute(rows, k=5, scale=256):
-    good = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            good.setdefault(i, []).append([max(-topk.LIMIT, min(topk.LIMIT, math.floor(scale * float(np.float32(x))))) for x in v])
+def brute(rows, asks, k=5, scale=256):
+    """Row by row: each row is a query of its own, and all other rows are its candidates."""
+    good = [(i, [math.floor(Fraction(float(np.float32(x))) * scale) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, asked in good.items():
-        if q % 5 == 0:
-            best = {c: max(sum(a * b for a, b in zip(u, v, strict=False)) for u in asked for v in own) for c, own in good.items() if c != q}
-            out += [(q, r, c, s) for r, (c, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k], 1)]
+    for at, (q, asked) in enumerate(good):
+        if asks(q):
+            scored = [(sum(a * b for a, b in zip(asked, v, strict=False)), c) for i, (c, v) in enumerate(good) if i != at]
+            out += [(q, r, c, max(topk.FIRST, min(topk.LAST, s))) for r, (s, c) in enumerate(sorted(scored, key=lambda x: (-x[0], x[1]))[:k], 1)]
     return sorted(out)
 
 
+SMALL = [(i, np.random.default_rng(i).normal(0, 0.3, 6).round(2).tolist()) for i in range(90)]
+SMALL += [(200 + i, [0.5, 0.5, 0.0, 0.0, 0.1, 0.0]) for i in range(30)]
+SMALL += [(300, None), (305, [0.1, None]), (310, [float("nan"), 1.0]), (315, [float("inf")]), (320, []), (325, [0.25, -0.25]), (None, [1.0])]
+#: Ids that repeat: with other vectors, with the same, and many times.
+REPEATED = [(10, SMALL[3][1]), (12, SMALL[12][1]), (15, SMALL[15][1]), (15, SMALL[15][1]), *[(25, [2.0, 2.0])] * 7, *[(7, [0.1 * i, 0.1]) for i in range(9)]]
+#: Components beyond 2^26, 2^53 and 2^63 when scaled.
+LARGE = [(400, [1e7, 3e5]), (401, [1e7, 0.0]), (405, [3e5, 3e5]), (406, [262144.0, 262143.0]), (410, [1e16, 1.0]), (415, [1e30, -1e30]), (416, [-1e30, 1e30]), (417, [1e30, 1.0]), (418, [3e38, -3e38])]
+
+
 @pytest.mark.parametrize("blocks", [(4096, 1024), (7, 3)])
-def test_top_k(spark, monkeypatch, blocks):
+@pytest.mark.parametrize("extra", [[], REPEATED, LARGE, REPEATED + LARGE])
+def test_top_k(spark, monkeypatch, blocks, extra):
     monkeypatch.setattr(topk, "CANDIDATES", blocks[0])
     monkeypatch.setattr(topk, "QUERIES", blocks[1])
-    rng = np.random.default_rng(1)
-    rows = [(i, rng.normal(0, 0.3, 6).round(2).tolist()) for i in range(90)]
-    rows += [(200 + i, [0.5, 0.5, 0.0, 0.0, 0.1, 0.0]) for i in range(30)]
-    rows += [(300, None), (305, [0.1, None]), (310, [float("nan"), 1.0]), (315, [float("inf")]), (320, []), (325, [0.25, -0.25]), (None, [1.0]), (10, rows[3][1]), (12, rows[12][1]), (330, [1e30, -1e30])]
+    rows = SMALL + extra
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, rank int")
     got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 5 = 0")).collect())
-    assert got == brute(rows)
+    assert got == brute(rows, lambda q: q % 5 == 0)
+
+
+def test_top_k_against_sql_with_repeated_ids(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = [(i, v) for i, v in [*SMALL, *((50, v) for _, v in SMALL[:9]), *((50, SMALL[50][1]) for _ in range(3)), (100, [1e7, 3e5])] if i is not None and v and len(v) == 6]
+    con = duckdb.connect()
+    con.register("embeddings", pd.DataFrame(rows, columns=["vec_id", "embedding"]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 50 = 0")).collect()) == sorted(con.execute(topk.ORACLE).fetchall())
+
+
+@given(st.lists(st.integers(-(10**60), 10**60), min_size=2, max_size=9))
+@settings(max_examples=200, deadline=None, derandomize=True)
+def test_sortable(numbers):
+    assert sorted(numbers) == sorted(numbers, key=topk.sortable)
 
 
 def test_top_k_of_blocks_with_the_same_ids(spark, monkeypatch):
@@ -189,7 +212,7 @@ def test_top_k_of_blocks_with_the_same_ids(spark, monkeypatch):
     rows = [(7, [0.1, 0.1])] * 4 + [(7, [0.5, 0.5])] * 4 + [(7, [2.0, 2.0])] * 4
     candidates = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
     queries = spark.createDataFrame([(5, [1.0, 1.0])], "vec_id long, embedding array<float>")
-    assert [tuple(r) for r in topk.top_k(candidates, queries).collect()] == [(5, 1, 7, 2 * 512 * 256)]
+    assert sorted(tuple(r) for r in topk.top_k(candidates, queries).collect()) == [(5, 1 + i, 7, 2 * 512 * 256 if i < 4 else 2 * 128 * 256) for i in range(5)]
 
 
 def test_top_k_of_nothing(spark):
