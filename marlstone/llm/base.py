@@ -102,16 +102,24 @@ def free(df: DataFrame, name: str) -> str:
 
 def tidy() -> None:
     """Give memory that a task has freed back to the system; workers live on after it."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
-#: Rows in a batch that goes to Python.
-BATCH_ROWS = 1000
+#: Rows and bytes in a batch that goes to Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def small_batches(df: DataFrame) -> None:
-    """Texts are long: let the session send at most BATCH_ROWS rows to Python at once (Spark's own limit is 10,000)."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """Texts are long: let the session send at most so many rows and bytes to Python at once (Spark's own limits are 10,000 rows and no bytes); a larger row goes alone."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < _number(conf.get(key)) <= most:
+            conf.set(key, str(most))
+
+
+def _number(setting: str) -> int:
+    """A setting's number, with or without a unit."""
+    digits = setting.rstrip("bB").lower()
+    return int(digits[:-1]) << {"k": 10, "m": 20, "g": 30}[digits[-1]] if digits[-1:] in ("k", "m", "g") else int(digits)

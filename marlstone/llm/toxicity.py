@@ -51,17 +51,20 @@ BEGIN, END, SYMBOL = 0x110000, 0x110001, 21
 ROOT = U(0x1B873593CC9E2D51)
 
 
+DENSE_BIT = 24
+
+
 @lru_cache(maxsize=1)
-def symbol_tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point: its symbol, 0 if it is none; and whether its script has no blanks."""
-    symbol, dense = np.zeros(0x110000, np.uint32), np.zeros(0x110000, bool)
+def symbol_table() -> np.ndarray:
+    """For each code point its symbol, 0 if it is none, with DENSE_BIT if its script has no blanks."""
+    out = np.zeros(0x110000, np.uint32)
     for c in range(0x110000):
         ch = chr(c)
         if ch.isalnum() or unicodedata.category(ch)[0] == "M":
-            symbol[c] = ord(ch.lower()[0])
+            out[c] = ord(ch.lower()[0])
     for a, z in DENSE:
-        dense[a:z] = True
-    return symbol, dense
+        out[a:z] |= np.where(out[a:z] > 0, np.uint32(1 << DENSE_BIT), np.uint32(0))
+    return out
 
 
 class Scan(NamedTuple):
@@ -75,24 +78,50 @@ class Scan(NamedTuple):
 
 
 def _sums(symbols: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros(1, U), np.cumsum(mix(symbols.astype(U) + U(1)) * powers(BYTE_BASE, len(symbols))[0], dtype=U)])
+    out = np.zeros(len(symbols) + 1, U)
+    np.multiply(symbols, powers(BYTE_BASE, len(symbols))[0], out=out[1:])
+    return np.cumsum(out, out=out)
 
 
 def scan(texts: list[str]) -> Scan:
-    symbol, dense = symbol_tables()
-    points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-    s, d = symbol[points], dense[points]
-    inside = s != 0
-    kind = inside.astype(np.int8) + (inside & d)
-    edges = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1], True])  # runs of one kind
-    run = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-    at = np.arange(len(s)) - edges[run]
-    starts = np.flatnonzero(inside & (d | (at % LONGEST == 0)))
-    sizes = np.minimum(edges[run[starts] + 1] - starts, np.where(d[starts], DENSE_LONGEST, LONGEST))
+    s = symbol_table()[np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)]
+    inside = np.zeros(len(s) + 1, bool)
+    np.not_equal(s, 0, out=inside[1:])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])  # the last symbol is none
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    if len(s) and int(s.max()) >> DENSE_BIT or sizes.max(initial=0) > LONGEST:
+        d = s >= 1 << DENSE_BIT
+        s = s & np.uint32((1 << DENSE_BIT) - 1)
+        kind = (s != 0).astype(np.int8) + d
+        edges = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1], True])  # runs of one kind
+        run = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        at = np.arange(len(s)) - edges[run]
+        starts = np.flatnonzero((s != 0) & (d | (at % LONGEST == 0)))
+        sizes = np.minimum(edges[run[starts] + 1] - starts, np.where(d[starts], DENSE_LONGEST, LONGEST))
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     return Scan(_sums(s), s, starts, sizes, np.searchsorted(starts, np.r_[0, ends]))
 
 
+class Slots:
+    """Values of some hashes, each in the slot of its last bits, where a later one takes its place: what is found is right, what is not must be made."""
+
+    def __init__(self, bits: int = 20):
+        self.mask, self.keys, self.values = U((1 << bits) - 1), np.zeros(1 << bits, U), np.zeros(1 << bits, np.float32)
+
+    def found(self, hashes: np.ndarray) -> np.ndarray:
+        return (self.keys[(hashes & self.mask).astype(np.int64)] == hashes) & (hashes != 0)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return self.values[(hashes & self.mask).astype(np.int64)]
+
+    def put(self, hashes: np.ndarray, values: np.ndarray | float = 0.0) -> None:
+        """Of hashes in one slot all but one are forgotten."""
+        at = (hashes & self.mask).astype(np.int64)
+        self.keys[at] = hashes
+        kept = self.keys[at] == hashes
+        self.values[at[kept]] = values[kept] if isinstance(values, np.ndarray) else values
+
+
 def _hashes(sums: np.ndarray, starts: np.ndarray, size: np.ndarray | int) -> np.ndarray:
     """Of the first so many symbols from each start."""
     down = powers(BYTE_BASE, len(sums))[1]
@@ -126,45 +155,28 @@ def grams(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[n
 
 # The shared lower order
 
-#: Expressions that a task remembers in order not to take them apart again; beyond, it begins anew.
-KNOWN = 1 << 20
-
-
-def _unique(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((low, high))
-    high, low = high[order], low[order]
-    new = np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])] if len(high) else np.empty(0, bool)
-    return high[new], low[new]
+def _new(hashes: np.ndarray, known: Slots) -> np.ndarray:
+    """Places of the first of each hash that is not among the known; they are known then."""
+    at = np.flatnonzero(~known.found(hashes))
+    own, first = np.unique(hashes[at], return_index=True)
+    known.put(own)
+    return at[first]
 
 
 def kinds(texts: DataFrame) -> DataFrame:
-    """(high, low): the kinds of five symbols in a row in all texts, of each task; a column of strings."""
+    """(high, low): the kinds of five symbols in a row in all texts, a few times each; a column of strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        known, total = np.empty(0, U), 0  # expressions of the task, sorted
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in _unique(*(np.concatenate(c) for c in zip(*held, strict=True)))], names=["high", "low"])
-
+        expressions, fives = Slots(), Slots()
         for b in batches:
             column = b.column(0).to_pylist()
             for a, z in pieces((len(t or "") for t in column), CHUNK):
                 x = scan([t or "" for t in column[a:z]])
-                if not len(x.starts):
-                    continue
-                hashes, first = np.unique(_hashes(x.sums, x.starts, x.sizes), return_index=True)
-                new = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] != hashes if len(known) else np.ones(len(hashes), bool)
-                first = first[new]
-                held.append(_unique(*grams(x.symbols, x.starts[first], x.sizes[first])))
-                known = np.sort(np.concatenate([known, hashes[new]])) if len(known) < KNOWN else hashes
-                total += len(held[-1][0])
-                if total > 1 << 20:
-                    yield out()
-                    held.clear()
-                    total = 0
-        if held:
-            yield out()
+                first = _new(_hashes(x.sums, x.starts, x.sizes), expressions)
+                if len(first):
+                    high, low = grams(x.symbols, x.starts[first], x.sizes[first])
+                    at = _new(mix(mix(high.view(U)) + low.view(U)), fives)
+                    yield pa.RecordBatch.from_arrays([pa.array(high[at]), pa.array(low[at])], names=["high", "low"])
         tidy()
 
     return texts.mapInArrow(run, "high long, low long")
@@ -278,18 +290,23 @@ def ratios_of(model: Beginnings, x: Scan, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def differences(model: Beginnings, texts: list[str | None]) -> np.ndarray:
-    """For each text, log P_toxic - log P_ordinary by symbol, where P_toxic of an expression is mixed."""
-    out = np.zeros(len(texts))
+def differences(model: Beginnings, texts: list[str | None], known: Slots | None = None) -> np.ndarray:
+    """For each text, log P_toxic - log P_ordinary by symbol, where P_toxic of an expression is mixed; known: what expressions gain, for several calls."""
+    out, known = np.zeros(len(texts)), known or Slots()
     for a, z in pieces((len(t or "") for t in texts), CHUNK):
         x = scan([t or "" for t in texts[a:z]])
         if not len(x.starts):
             continue
-        first, which = distinct(x)
-        gain = np.log1p(MIXED * np.expm1(np.minimum(ratios_of(model, x, first), 50.0)))
+        hashes = _hashes(x.sums, x.starts, x.sizes)
+        gain = known.of(hashes)
+        at = np.flatnonzero(~known.found(hashes))
+        own, first, which = np.unique(hashes[at], return_index=True, return_inverse=True)
+        fresh = np.log1p(MIXED * np.expm1(np.minimum(ratios_of(model, x, at[first]), 50.0))).astype(np.float32)
+        gain[at] = fresh[which]
+        known.put(own, fresh)
         rows = np.flatnonzero(np.diff(x.bounds))
         at = x.bounds[rows]
-        out[a + rows] = np.add.reduceat(gain[which], at) / np.add.reduceat(x.sizes + 1, at)
+        out[a + rows] = np.add.reduceat(gain.astype(float), at) / np.add.reduceat(x.sizes + 1, at)
     return out
 
 
@@ -326,10 +343,10 @@ def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / width), float(w[1] - w[0] * middle / width)
 
 
-def scores(model: Model | None, texts: list[str | None]) -> np.ndarray:
+def scores(model: Model | None, texts: list[str | None], known: Slots | None = None) -> np.ndarray:
     if model is None:
         return np.zeros(len(texts))
-    x = np.log(np.maximum(differences(unsqueezed(model.blob, model.root), texts), 0) + FLOOR)
+    x = np.log(np.maximum(differences(unsqueezed(model.blob, model.root), texts, known), 0) + FLOOR)
     return 1 / (1 + np.exp(-np.clip(model.slope * x + model.intercept, -30, 30)))
 
 
@@ -404,8 +421,9 @@ def score(df: DataFrame, model: Model | None, text: str = "text", keep_text: boo
     rows = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").alias(free(df, "_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Slots()
         for b in batches:
-            p = scores(shipped.value, b.column(b.num_columns - 1).to_pylist())
+            p = scores(shipped.value, b.column(b.num_columns - 1).to_pylist(), known)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
         unsqueezed.cache_clear()  # a worker lives on after the task
         tidy()
