@@ -23,11 +23,12 @@ toxic; a run of more than 64 symbols is several expressions; columns named like
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -182,54 +183,43 @@ def kinds(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "high long, low long")
 
 
-def shared(texts: DataFrame, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """P(symbol | three before) of the shared order, for the four last symbols of each (high, low), bounded in number; counts cover all texts."""
+def four_of(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, low): the symbol at that depth of each expression, or its end, after the three before."""
+    out = []
+    for back in range(3, -1, -1):
+        at = depth - back
+        out.append(np.full(len(starts), BEGIN) if at < 0 else np.where(at == sizes, END, symbols[np.minimum(starts + at, len(symbols) - 1)]).astype(np.int64))
+    return out[0], out[1] << 2 * SYMBOL | out[2] << SYMBOL | out[3]
+
+
+def shared(texts: DataFrame, a: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """P(symbol | three before) of the shared order, for a bounded number of (a, low); its counts cover all texts."""
     spark = texts.sparkSession
-    mask = lambda n: F.lit((1 << n * SYMBOL) - 1)
-    four = checkpointed(kinds(texts).distinct().groupBy(F.col("high").bitwiseAND(mask(1)).alias("a"), "low").agg(F.count("*").alias("n")))
-    three = four.groupBy("low").agg(F.count("*").alias("n"))
-    two = three.groupBy(F.col("low").bitwiseAND(mask(2)).alias("low")).agg(F.count("*").alias("n"))
-    one = two.groupBy(F.col("low").bitwiseAND(mask(1)).alias("low")).agg(F.count("*").alias("n"))
-    own = high & ((1 << SYMBOL) - 1)
-    asked = np.unique(np.stack([own, low], 1), axis=0)
-    need = spark.createDataFrame(pa.table({"a": asked[:, 0], "low": asked[:, 1]}))
-    before = F.shiftright("low", SYMBOL)
-    sums = (F.sum("n").alias("t"), F.count("*").alias("k"))
-
-    def looked_up(table: DataFrame, keys: list[Column], names: list[str], wanted: list[Column], values: list[str]) -> dict[tuple[int, ...], tuple[int, ...]]:
-        ask = F.broadcast(need.select(*(c.alias(n) for c, n in zip(wanted, names, strict=True))).distinct())
-        rows = table.select(*(c.alias(n) for c, n in zip(keys, names, strict=True)), *values).join(ask, names).toArrow()
-        columns = [rows.column(n).to_pylist() for n in names]
-        return dict(zip(zip(*columns, strict=True), zip(*(rows.column(v).to_pylist() for v in values), strict=True), strict=True))
-
-    a, c = F.col("a"), F.col("low")
-    levels = []
-    for table, keep, with_a in ((four, 3, True), (three, 3, False), (two, 2, False), (one, 1, False)):
-        last = c.bitwiseAND(mask(keep))
-        lead, names = ([a], ["x", "y"]) if with_a else ([], ["y"])
-        n = looked_up(table, [*lead, c], names, [*lead, last], ["n"])
-        if keep == 1:
-            totals = table.agg(*sums).first()
-            levels.append((n, {(): (totals["t"], totals["k"])}, keep, with_a))
-            continue
-        contexts = table.groupBy(*(x.alias(m) for x, m in zip([*lead, before], names, strict=True))).agg(*sums)
-        t = looked_up(contexts, [F.col(m) for m in names], names, [*lead, F.shiftright(last, SYMBOL)], ["t", "k"])
-        levels.append((n, t, keep, with_a))
-    p: dict[tuple[int, int], float] = {}
-    for x, y in asked.tolist():
-        value = 0.0
-        for n, t, keep, with_a in reversed(levels):
-            last = y & ((1 << keep * SYMBOL) - 1)
-            count = n.get((x, last) if with_a else (last,), (0,))[0]
-            if keep == 1:
-                total, number = t[()]
-                value = (count + 0.5) / (total + 0.5 * (number + 1))
-                continue
-            total, number = t.get((x, last >> SYMBOL) if with_a else (last >> SYMBOL,), (0, 0))
-            if total:
-                value = max(count - SHARED_DISCOUNT, 0) / total + SHARED_DISCOUNT * number / total * value
-        p[x, y] = value
-    return np.array([p[k] for k in zip(own.tolist(), low.tolist(), strict=True)])
+    mask = lambda n: (1 << n * SYMBOL) - 1
+    none = F.lit(0).cast("long")
+    four = checkpointed(kinds(texts).distinct().groupBy(F.col("high").bitwiseAND(F.lit(mask(1))).alias("a"), "low").agg(F.count("*").alias("n")))
+    by_size = {4: four, 3: four.groupBy("low").agg(F.count("*").alias("n")).select(none.alias("a"), "low", "n")}
+    for size in (2, 1):
+        by_size[size] = by_size[size + 1].groupBy(F.col("low").bitwiseAND(F.lit(mask(size))).alias("low")).agg(F.count("*").alias("n")).select(none.alias("a"), "low", "n")
+    # one table of all: (size, a, low) with n, kinds of symbols before; (10 + size, a, context) with their sum t and number k
+    parts = [t.select(F.lit(size).alias("size"), "a", "low", "n", none.alias("t"), none.alias("k")) for size, t in by_size.items()]
+    parts += [t.groupBy("a", F.shiftright("low", SYMBOL).alias("low")).agg(F.sum("n").alias("t"), F.count("*").alias("k")).select(F.lit(10 + size).alias("size"), "a", "low", none.alias("n"), "t", "k") for size, t in by_size.items()]
+    asked: dict[int, pd.DataFrame] = {}
+    for size in by_size:
+        own = pd.DataFrame({"a": a if size == 4 else 0, "low": low & mask(min(size, 3))})
+        asked[size], asked[10 + size] = own, own.assign(low=own["low"].to_numpy() >> SYMBOL)
+    ask = pd.concat([x.drop_duplicates().assign(size=size) for size, x in asked.items()]).astype({"size": np.int32})
+    ask = spark.createDataFrame(pa.Table.from_pandas(ask, preserve_index=False))
+    found = reduce(DataFrame.unionAll, parts).join(F.broadcast(ask), ["size", "a", "low"]).toArrow().to_pandas()
+
+    def looked_up(size: int, value: str) -> np.ndarray:
+        return asked[size].merge(found[found["size"] == size], "left", ["a", "low"])[value].fillna(0).to_numpy(float)
+
+    p = (looked_up(1, "n") + 0.5) / (looked_up(11, "t") + 0.5 * (looked_up(11, "k") + 1))
+    for size in (2, 3, 4):
+        n, t, k = looked_up(size, "n"), looked_up(10 + size, "t"), looked_up(10 + size, "k")
+        p = np.where(t > 0, (np.maximum(n - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * k * p) / np.maximum(t, 1), p)
+    return p
 
 
 # The class models
@@ -243,33 +233,56 @@ class Beginnings(NamedTuple):
     root: float  # what an unseen first symbol adds
 
 
-def beginnings(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, p: np.ndarray) -> Beginnings:
-    """From distinct expressions, in how many texts of each class they are, and the shared order's P for each of their grams()."""
-    sums = _sums(symbols)
-    owner = np.repeat(np.arange(len(starts)), sizes + 1)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
-    ends = at == sizes[owner]
-    own = _hashes(sums, starts[owner], np.minimum(at + 1, sizes[owner]))
-    own[ends] = _ended(own[ends])
-    before = np.where(at == 0, ROOT, _hashes(sums, starts[owner], at))
-    hashes, first, which = np.unique(own, return_index=True, return_inverse=True)
-    contexts, context = np.unique(before[first], return_inverse=True)
-    log_p, log_rest = [], []
-    for n in (np.bincount(which, c[owner]) for c in (toxic, ordinary)):
-        total, kept = np.bincount(context, n), np.bincount(context, np.minimum(n, DISCOUNT))
-        rest = np.where(total > 0, kept / np.maximum(total, 1), 1.0)
-        log_p.append(np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[context] + rest[context] * p[first]))
-        log_rest.append(np.log(rest))
-    step, rest = log_p[0] - log_p[1], log_rest[0] - log_rest[1]
-    ratios, level = np.zeros(len(hashes)), at[first]
-    parent = np.searchsorted(hashes, contexts)[context]  # of first symbols none, see below
-    for depth in range(int(level.max(initial=-1)) + 1):
-        here = np.flatnonzero(level == depth)
-        ratios[here] = step[here] + (ratios[parent[here]] if depth else 0)
-    rests, place = np.zeros(len(hashes)), np.searchsorted(hashes, contexts)
-    real = contexts != ROOT
-    rests[place[real]] = rest[real]
-    return Beginnings(hashes, ratios.astype(np.float32), rests.astype(np.float32), float(rest[~real][0]) if len(contexts) else 0.0)
+class Level(NamedTuple):
+    """Beginnings of one length: hashes; for each an expression that has it, and the place of the one shorter by a symbol in the level before; the expressions, and which beginning each has."""
+
+    hashes: np.ndarray
+    example: np.ndarray
+    before: np.ndarray
+    expressions: np.ndarray
+    which: np.ndarray
+
+
+def levels(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[Level]:
+    sums, last = _sums(symbols), np.zeros(len(starts), np.int64)
+    at = np.arange(len(starts))
+    for depth in range(LONGEST + 1):
+        at = at[sizes[at] >= depth]
+        if not len(at):
+            return
+        ended = sizes[at] == depth
+        h = _hashes(sums, starts[at], np.minimum(depth + 1, sizes[at]))
+        h[ended] = _ended(h[ended])
+        hashes, first, which = np.unique(h, return_index=True, return_inverse=True)
+        yield Level(hashes, at[first], last[at[first]], at, which)
+        last[at] = which
+
+
+def beginnings(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, lower: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Beginnings:
+    """From distinct expressions, in how many texts of each class they are, and the shared order's P of (a, low)."""
+    hashes, ratios, rests, root = [], [], [], 0.0
+    for depth, x in enumerate(levels(symbols, starts, sizes)):
+        p = lower(*four_of(symbols, starts[x.example], sizes[x.example], depth))
+        number = len(hashes[-1]) if depth else 1
+        step, rest = np.zeros(len(x.hashes)), np.zeros(number)
+        for n, sign in ((toxic, 1), (ordinary, -1)):
+            n = np.bincount(x.which, n[x.expressions])
+            total, kept = np.bincount(x.before, n, number), np.bincount(x.before, np.minimum(n, DISCOUNT), number)
+            left = np.where(total > 0, kept / np.maximum(total, 1), 1.0)
+            step += sign * np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[x.before] + left[x.before] * p)
+            rest += sign * np.log(left)
+        if depth:
+            rests.append(rest)
+        else:
+            root = float(rest[0])
+        hashes.append(x.hashes)
+        ratios.append(step + (ratios[-1][x.before] if depth else 0))
+    if not hashes:
+        return Beginnings(np.empty(0, U), np.empty(0, np.float32), np.empty(0, np.float32), 0.0)
+    rests.append(np.zeros(len(hashes[-1])))
+    all_hashes = np.concatenate(hashes)
+    order = np.argsort(all_hashes)
+    return Beginnings(all_hashes[order], np.concatenate(ratios)[order].astype(np.float32), np.concatenate(rests)[order].astype(np.float32), root)
 
 
 def ratios_of(model: Beginnings, x: Scan, first: np.ndarray) -> np.ndarray:
@@ -394,8 +407,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     symbols = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
     starts = np.cumsum(sizes) - sizes
-    p = shared(rows.select("text"), *grams(symbols, starts, sizes))
-    model = beginnings(symbols, starts, sizes, n0, n1, p)
+    del words, counted
+    needed = [np.unique(np.stack(four_of(symbols, starts[x.example], sizes[x.example], depth)), axis=1) for depth, x in enumerate(levels(symbols, starts, sizes))]
+    needed = np.unique(np.concatenate(needed, axis=1), axis=1)
+    keys = mix(mix(needed[0].view(U)) + needed[1].view(U))
+    order = np.argsort(keys)
+    p, keys = shared(rows.select("text"), *needed)[order], keys[order]
+    model = beginnings(symbols, starts, sizes, n0, n1, lambda a, low: p[np.searchsorted(keys, mix(mix(a.view(U)) + low.view(U)))])
     plain = Model(squeezed(model), model.root, 1.0, 0.0)
     shipped = spark.sparkContext.broadcast(plain)
     targets = spark.createDataFrame([(k, v) for k, v in use.items()], known.schema)
