@@ -79,24 +79,30 @@ SCRIPTS: dict[str, tuple[str, str]] = {
     "not_in_list": ("select o_orderkey from orders where o_orderstatus not in ('f', 'p')", f"SELECT o_orderkey FROM orders WHERE {ci('o_orderstatus')} NOT IN ('f', 'p')"),
     "in_list_columns": ("select l_orderkey, l_linenumber from lineitem where l_linenumber in (l_quantity, 1, l_suppkey % 7)", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem WHERE l_linenumber IN (l_quantity, 1, l_suppkey % 7)"),
     "in_subquery": ("select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 250000)", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)"),
-    "not_in_subquery": ("select c_custkey from customer where c_custkey not in (select o_custkey from orders)", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "not_in_subquery": (
+        "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 200000)",
+        "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)",
+    ),
     "in_subquery_or": (
         "select c_custkey from customer where c_custkey < 10 or c_name in (select 'customer#' + right('000000000' + cast(c_custkey as varchar), 9) from customer where c_acctbal > 9000)",
         "SELECT c_custkey FROM customer WHERE c_custkey < 10 OR lower(c_name) IN (SELECT 'customer#' || right('000000000' || c_custkey::VARCHAR, 9) FROM customer WHERE c_acctbal > 9000)",
     ),
-    "like_pct": ("select p_partkey from part where p_type like '%BRASS' or p_name like 'a%'", "SELECT p_partkey FROM part WHERE regexp_full_match(p_type, '.*brass', 'i') OR regexp_full_match(p_name, 'a.*', 'i')"),
+    "like_pct": ("select c_custkey from customer where c_mktsegment like '%ING' or c_name like 'CUST%99'", "SELECT c_custkey FROM customer WHERE regexp_full_match(c_mktsegment, '.*ing', 'i') OR regexp_full_match(c_name, 'cust.*99', 'i')"),
     "like_underscore": ("select c_custkey from customer where c_name like 'customer_0000____1'", "SELECT c_custkey FROM customer WHERE regexp_full_match(c_name, 'customer.0000....1', 'i')"),
     "like_range": ("select s_suppkey from supplier where s_name like '%[1-3][05-9]'", "SELECT s_suppkey FROM supplier WHERE regexp_full_match(s_name, '.*[1-3][05-9]', 'i')"),
     "not_like": ("select s_suppkey from supplier where s_name not like '%1%'", "SELECT s_suppkey FROM supplier WHERE s_name NOT LIKE '%1%'"),
-    "like_column": ("select n_nationkey, r_name from nation join region on n_name like left(r_name, 1) + '%'", "SELECT n_nationkey::BIGINT AS n_nationkey, r_name FROM nation JOIN region ON n_name ILIKE left(r_name, 1) || '%'"),
-    "is_null": ("select c_custkey from customer left join orders on c_custkey = o_custkey where o_orderkey is null", "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL"),
+    "like_column": ("select c_custkey, s_suppkey from customer join supplier on c_name like '%' + right(s_name, 3) and s_suppkey < 9", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_name LIKE '%' || right(s_name, 3) AND s_suppkey < 9"),
+    "is_null": (
+        "select c_custkey from customer left join orders on c_custkey = o_custkey and o_totalprice > 200000 where o_orderkey is null",
+        "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000 WHERE o_orderkey IS NULL",
+    ),
     "is_not_null": ("select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey where o_orderkey is not null", "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey"),
     "between": ("select o_orderkey from orders where o_orderkey between 100 and 200 or o_orderstatus not between 'a' and 'o'", "SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN 100 AND 200 OR lower(o_orderstatus) NOT BETWEEN 'a' AND 'o'"),
     "and_or_prec": ("select o_orderkey from orders where o_orderstatus = 'F' or o_orderstatus = 'P' and o_totalprice > 200000", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' OR o_orderstatus = 'P' AND o_totalprice > 200000"),
     "not_cond": ("select o_orderkey from orders where not (o_orderstatus = 'F' or o_totalprice > 150000)", "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' OR o_totalprice > 150000)"),
     "not_null_two_valued": (
-        "select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey where not o_totalprice > 1000",
-        "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE coalesce(o_totalprice, 0) <= 1000",
+        "select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey and o_totalprice > 150000 where not o_totalprice > 250000",
+        "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 150000 WHERE coalesce(o_totalprice, 0) <= 250000",
     ),
     # subqueries
     "scalar_subquery": ("select c_custkey, c_acctbal - (select min(s_acctbal) from supplier) a from customer where c_custkey > (select count(*) from nation)", "SELECT c_custkey, c_acctbal - (SELECT min(s_acctbal) FROM supplier) AS a FROM customer WHERE c_custkey > (SELECT count(*) FROM nation)"),
@@ -181,15 +187,18 @@ SCRIPTS: dict[str, tuple[str, str]] = {
         "SELECT o_orderkey FROM orders WHERE o_totalprice > 150000 AND o_orderstatus = 'O' AND o_custkey < (SELECT max(o_custkey) // 2 FROM orders)",
     ),
     "everything": (
-        "select top (5 * 4) (select top 1 r_name from region order by r_regionkey) first_region, seg + '!' mark, max(o_totalprice) most, n, count(*) orders "
-        "from (select c_mktsegment seg, count(*) n from customer group by c_mktsegment) x join customer c on c.c_mktsegment = x.seg and 1 = 1 join orders on o_custkey = c_custkey "
-        "where len(seg) <= 5 * 2 and c_nationkey in (select n_nationkey from nation where n_name like '%[1-5]') and not o_orderstatus = 'p' "
-        "group by seg, n having min(o_totalprice) < 30000 order by seg desc, n, most",
-        "SELECT (SELECT r_name FROM region ORDER BY r_regionkey LIMIT 1) AS first_region, seg || '!' AS mark, max(o_totalprice) AS most, n, count(*) AS orders "
-        "FROM (SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY c_mktsegment) x JOIN customer c ON c.c_mktsegment = x.seg JOIN orders ON o_custkey = c_custkey "
-        "WHERE length(seg) <= 10 AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE regexp_full_match(n_name, '.*[1-5]', 'i')) AND o_orderstatus <> 'P' "
-        "GROUP BY seg, n HAVING min(o_totalprice) < 30000 ORDER BY seg DESC, n, 3 LIMIT 20",
+        "declare @share float = 0.25 "
+        "select status, nation, count(distinct o_custkey) buyers, max(spent) spent, case when max(spent) > 200000 then 'large' else 'small' end size "
+        "from (select o_orderstatus status, o_custkey, o_totalprice * (1 - @share) spent, replace(n_name, 'nation', 'N') nation from orders join customer on c_custkey = o_custkey "
+        "left join nation on n_nationkey = c_nationkey and n_regionkey between 1 and 3 where o_orderkey % 3 <> 1) x "
+        "where nation is not null group by status, nation having count(*) > 1 and min(spent) < (select max(s_acctbal) * 2 from supplier) "
+        "union all select top 3 'all', isnull(r_name, '-'), 0, cast(r_regionkey as float), 'none' from region where r_regionkey in (select n_regionkey from nation) order by nation desc, status",
+        "SELECT * FROM (SELECT o_orderstatus AS status, replace(n_name, 'NATION', 'N') AS nation, count(DISTINCT o_custkey) AS buyers, max(o_totalprice * 0.75::DOUBLE) AS spent, CASE WHEN max(o_totalprice * 0.75::DOUBLE) > 200000 THEN 'large' ELSE 'small' END AS size "
+        "FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey AND n_regionkey BETWEEN 1 AND 3 WHERE o_orderkey % 3 <> 1 "
+        "GROUP BY o_orderstatus, n_name HAVING count(*) > 1 AND min(o_totalprice * 0.75::DOUBLE) < (SELECT max(s_acctbal) * 2 FROM supplier)) "
+        "UNION ALL (SELECT 'all', r_name, 0, r_regionkey::DOUBLE, 'none' FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) LIMIT 3)",
     ),
+    "not_above_below": ("select o_orderkey from orders where o_custkey !> 40 or o_totalprice !< 290000", "SELECT o_orderkey FROM orders WHERE o_custkey <= 40 OR o_totalprice >= 290000"),
     "flagship": (
         "select l_returnflag, l_linestatus, count(*) n, sum(l_quantity) q, max(l_extendedprice * (1 - l_discount)) best from lineitem where l_linestatus = 'o' or l_quantity > 10 group by l_returnflag, l_linestatus order by n desc",
         "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS q, max(l_extendedprice * (1 - l_discount)) AS best FROM lineitem WHERE lower(l_linestatus) = 'o' OR l_quantity > 10 GROUP BY ALL",
@@ -218,8 +227,8 @@ def _folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="marlstone-", dir=folder)
 
 
-def _writing(sql: str, files: dict[str, str] | None = None, variables: dict[str, str] | None = None, **properties: object) -> Query:
-    """A script over copies in a new folder; {sf} is the folder of the given tables, {dir} the new one."""
+def _writing(sql: str, files: dict[str, str] | None = None, variables: dict[str, str] | None = None, parts: int = 0, **properties: object) -> Query:
+    """A script over copies in a new folder; parts: with the customers, by key, in a Parquet table `many` of so many files."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = _folder(spark)
         for name, text in (files or {}).items():
@@ -230,6 +239,8 @@ def _writing(sql: str, files: dict[str, str] | None = None, variables: dict[str,
             engine.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
         for name, value in (variables or {}).items():
             engine.import_variable(f"{name}={value}")
+        if parts:
+            spark.read.parquet(f"{sf_dir}/customer.parquet").repartitionByRange(parts, "c_custkey").sortWithinPartitions("c_custkey").write.parquet(f"file://{folder}/many.parquet")
         return engine.query(sql)
 
     return run
@@ -253,8 +264,20 @@ WRITERS: dict[str, tuple[Query, str | None]] = {
     "delete_where": (_writing("select * into [s.csv] from supplier delete [s.csv] where s_acctbal < 0 select s_suppkey, s_name from [s.csv]"), "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal >= 0"),
     "delete_all": (_writing("select * into [s.csv] from supplier delete [s.csv] select count(*) n from [s.csv]"), "SELECT 0::BIGINT AS n"),
     "delete_join": (
-        _writing("select * into [c.parquet] from customer delete c from [c.parquet] c join orders on c.c_custkey = o_custkey select c_custkey, c_acctbal from [c.parquet]"),
-        "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+        _writing("select * into [c.parquet] from customer delete c from [c.parquet] c join orders on c.c_custkey = o_custkey and o_totalprice > 200000 select c_custkey, c_acctbal from [c.parquet]"),
+        "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)",
+    ),
+    "delete_join_files": (
+        _writing("delete c from many c join orders on c.c_custkey = o_custkey and o_totalprice > 200000 select c_custkey, c_acctbal from many", parts=7),
+        "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)",
+    ),
+    "update_join_files": (
+        _writing("update c set c_mktsegment = 'buyer', c_acctbal += 1 from many c join orders o on o.o_custkey = c.c_custkey where o.o_totalprice > 250000 select c_custkey, c_acctbal, c_mktsegment from many", parts=7),
+        "SELECT c_custkey, c_acctbal + CASE WHEN b THEN 1 ELSE 0 END AS c_acctbal, CASE WHEN b THEN 'buyer' ELSE c_mktsegment END AS c_mktsegment FROM (SELECT *, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000) AS b FROM customer)",
+    ),
+    "top_file_order_files": (
+        _writing("select top 25 c_custkey from many where c_acctbal > 0", parts=7),
+        "SELECT c_custkey FROM customer WHERE c_acctbal > 0 ORDER BY c_custkey LIMIT 25",
     ),
     "temp_table": (_writing("select distinct n_regionkey k into #keys from nation where n_nationkey > 3 select r_name from region join #keys on k = r_regionkey"), "SELECT r_name FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey > 3)"),
     "table_variable": (_writing("select n_name, n_regionkey into @file from nation where n_nationkey < 9 select n_name from @file where n_regionkey = 1", variables={"file": "some.csv"}), "SELECT n_name FROM nation WHERE n_nationkey < 9 AND n_regionkey = 1"),
