@@ -18,9 +18,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import free
+
 BUCKETS, GRAMS, SCALE = 1 << 16, (3, 4), 1_000
-#: Names of columns that come and go.
-CODES, RULE = "__url_codes", "__url_rule"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The small labelled URL table: words of hosts and paths that advertise, and ordinary ones.
@@ -101,37 +101,40 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
-def _weight(table: Column, n: int) -> Callable[[Column], Column]:
-    """From a place in CODES to the weight of the n-gram there."""
+def _weight(table: Column, n: int, codes: Column) -> Callable[[Column], Column]:
+    """From a place in codes to the weight of the n-gram there."""
     def at(i: Column) -> Column:
         h = F.lit(0).cast("bigint")
         for j in range(n):
-            h = (h * 131 + F.get(F.col(CODES), i + F.lit(j))) % 1_000_003
+            h = (h * 131 + F.get(codes, i + F.lit(j))) % 1_000_003
         return F.get(table, (h % F.lit(BUCKETS)).cast("int"))
 
     return at
 
 
-def model_score(text: Column) -> tuple[Column, Column]:
-    """A column CODES of text's characters, and over it the intercept plus the n-grams' weights, a long; above 0 the model blocks."""
+def codes_of(text: Column) -> Column:
+    return F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
+
+
+def model_score(codes: Column) -> Column:
+    """The intercept plus the weights of the n-grams of a text's codes_of(), a long; above 0 the model blocks."""
     intercept, weights = trained()
     table = F.lit(np.array(weights, np.int64))
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
     total = F.lit(intercept).cast("bigint")
     for n in GRAMS:
-        spots = F.when(F.size(CODES) >= n, F.sequence(F.lit(0), F.size(CODES) - F.lit(n))).otherwise(F.array().cast("array<int>"))
-        total = total + F.aggregate(F.transform(spots, _weight(table, n)), F.lit(0).cast("bigint"), lambda s, w: s + w)
-    return codes, total
+        spots = F.when(F.size(codes) >= n, F.sequence(F.lit(0), F.size(codes) - F.lit(n))).otherwise(F.array().cast("array<int>"))
+        total = total + F.aggregate(F.transform(spots, _weight(table, n, codes)), F.lit(0).cast("bigint"), lambda s, w: s + w)
+    return total
 
 
 def judge(df: DataFrame, url: str = "url", rules: Sequence[Rule] = RULES) -> DataFrame:
     """Adds host, path, rule, model_score and verdict to every row; they replace columns of these names."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
-    codes, total = model_score(F.concat(F.lit("^"), F.col("host"), F.col("path"), F.lit("$")))
-    out = df.withColumns({"host": host, "path": path}).withColumns({CODES: codes, RULE: longest_rule(F.col("host"), F.col("path"), rules)})
-    out = out.withColumn("model_score", total)
-    out = out.withColumns({"rule": F.col(f"{RULE}.pattern"), "verdict": F.coalesce(F.col(f"{RULE}.verdict"), F.when(F.col("model_score") > 0, "block").otherwise("allow"))})
-    return out.drop(CODES, RULE)
+    codes, rule = free(df, "_codes"), free(df, "_rule")
+    out = df.withColumns({"host": host, "path": path}).withColumns({codes: codes_of(F.concat(F.lit("^"), F.col("host"), F.col("path"), F.lit("$"))), rule: longest_rule(F.col("host"), F.col("path"), rules)})
+    out = out.withColumn("model_score", model_score(F.col(codes)))
+    out = out.withColumns({"rule": F.col(f"{rule}.pattern"), "verdict": F.coalesce(F.col(f"{rule}.verdict"), F.when(F.col("model_score") > 0, "block").otherwise("allow"))})
+    return out.drop(codes, rule)
 
 
 def oracle() -> str:

@@ -51,6 +51,14 @@ def test_url_model_separates_its_table():
     assert right / len(rows) > 0.98
 
 
+def test_odd_urls(spark):
+    """Very long urls, repeated rows, and columns with the names that the filter uses itself."""
+    long = "http://a.example.net/en/" + "x" * 50000
+    df = spark.createDataFrame([(1, long, "c", "r"), (1, long, "c", "r"), (2, "http://a.org/fr/", "d", "s")], "page_id long, url string, _codes string, _rule string")
+    got = sorted((r["page_id"], r["_codes"], r["_rule"], r["rule"], len(r["path"])) for r in urlfilter.judge(df).collect())
+    assert got == [(1, "c", "r", "example.net/en/", 50004)] * 2 + [(2, "d", "s", "org/fr/", 4)]
+
+
 def test_urls_of_nothing(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string, __url_codes string")).collect() == []
 
