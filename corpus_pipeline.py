@@ -6,20 +6,32 @@ the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, decontam, jaccard, substr, toxicity
-from marlstone.llm.base import checkpointed, split_of, table
+from marlstone.llm.base import checkpointed, free, split_of, table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def _own_names(stage: Callable[[DataFrame], DataFrame], docs: DataFrame, used: Sequence[str]) -> DataFrame:
+    """The stage's rows of docs with the columns of docs; those that have a name which the stage uses itself are called otherwise meanwhile."""
+    other = {}
+    for c in docs.columns:
+        if c.lower() in used:
+            other[c] = free(docs, f"{c}_of_documents")
+    out = stage(docs.withColumnsRenamed(other))
+    return out.select(*(F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models do not reject; labels of one third of the ids are never learned from."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), split_of(F.col("doc_id"), 3) != 1)
-    return toxicity.score(docs, model, keep_text=True).where("predicted = 0").select(docs.columns)
+    return _own_names(lambda own: toxicity.score(own, model, keep_text=True).where("predicted = 0"), docs, ("score", "predicted"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +41,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the windows of 20 words that start earlier too; n_chars is that of what is left."""
-    return substr.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return _own_names(lambda own: substr.dedup(own).withColumn("n_chars", F.length("text").cast("long")), docs, ("n_words", "n_removed"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
