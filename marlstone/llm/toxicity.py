@@ -30,6 +30,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -400,14 +401,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
         tidy()
 
     counted = sample.mapInArrow(expressions, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    words = counted.column("word").to_pylist()
     n0, n1 = (counted.column(c).to_numpy().astype(float) for c in ("n0", "n1"))
     if not n0.any() or not n1.any():
         return None
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    symbols = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    words = counted.column("word").combine_chunks()
+    del counted
+    sizes = pc.utf8_length(words).to_numpy().astype(np.int64)
+    symbols = np.concatenate([np.frombuffer("".join(words.slice(i, 1 << 14).to_pylist()).encode("utf-32-le"), np.uint32) for i in range(0, len(words), 1 << 14)])
     starts = np.cumsum(sizes) - sizes
-    del words, counted
+    del words
+    tidy()
     needed = [np.unique(np.stack(four_of(symbols, starts[x.example], sizes[x.example], depth)), axis=1) for depth, x in enumerate(levels(symbols, starts, sizes))]
     needed = np.unique(np.concatenate(needed, axis=1), axis=1)
     keys = mix(mix(needed[0].view(U)) + needed[1].view(U))
@@ -415,6 +418,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     p, keys = shared(rows.select("text"), *needed)[order], keys[order]
     model = beginnings(symbols, starts, sizes, n0, n1, lambda a, low: p[np.searchsorted(keys, mix(mix(a.view(U)) + low.view(U)))])
     plain = Model(squeezed(model), model.root, 1.0, 0.0)
+    del model, symbols, starts, sizes, needed, keys, p
+    tidy()
     shipped = spark.sparkContext.broadcast(plain)
     targets = spark.createDataFrame([(k, v) for k, v in use.items()], known.schema)
 
