@@ -2,10 +2,11 @@
 
 The main path uses DataFrame functions only. The model is a logistic regression on hashed
 character n-grams of host and path, fitted on the driver from a small labelled URL table,
-and its weights are whole numbers, so that a score is the same in any order of summing.
+and its weights are whole numbers, so that a score is the same in any order of summing. Its
+intercept is a stated prior.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule
-and is judged on the intercept alone; repeated rows are judged alike; other columns pass.
+and is judged on the intercept alone, which allows it; repeated rows are judged alike; other columns pass.
 """
 
 from __future__ import annotations
@@ -21,12 +22,40 @@ from pyspark.sql import functions as F
 from .base import free
 
 BUCKETS, GRAMS, SCALE = 1 << 16, (3, 4), 1_000
+#: Of urls without any n-gram, the share taken to be unwanted; its log odds are the intercept, so that nothing is blocked without a reason.
+PRIOR = 0.2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: The small labelled URL table: words of hosts and paths that advertise, and ordinary ones.
-BLOCKED_WORDS = "casino win pills cheap spam farm viagra poker bet jackpot loan payday xxx adult porn warez crack torrent pharma rx replica lottery prize bonus slots escort dating clickbait malware phish ads track banner deal replica free-gift sexy gamble".split()
-ORDINARY_WORDS = "news blog docs wiki library school city health sport music garden museum weather science history travel recipe forum shop book review journal research open data mail photo map guide help story paper market home www world house".split()
-SYLLABLES = "an ber cor dal el fen gor her in jo ka lin mor nor on per qui ren sa sh ble ing ed es ly ment ness nt ous st th tion ter the und vor wil yan zu".split()
+#: The small labelled URL table, host and path without a scheme: invented ones that advertise, deceive or sell what is not wanted, and ordinary ones.
+BLOCKED = """
+bestonlinecasino.bet/bonus spinpalace-slots.top/free-spins lucky-casino24.com/register www.royalcasinobonus.net/ casinojackpots.xyz/play?ref=9 megaslots.club/jackpot m.pokerstakes.biz/deposit texas-poker-rooms.info/bonus.html
+sportsbets-now.win/odds betting-tips-daily.com/vip livebets.top/football freebet-codes.com/claim rx-pharmacy-online.com/order cheapmeds-rx.net/viagra buy-viagra-cheap.biz/ www.canadianpharma-discount.com/cialis genericpills24.top/cart
+slimming-pills-fast.shop/buy dietpills-review.xyz/miracle herbal-viagra.info/order.php cheap-replica-watches.com/rolex replicahandbags.top/sale discount-replicas.shop/ luxuryreplica.biz/watches payday-loans-now.com/apply fastcashloan.top/
+no-credit-check-loans.info/apply.php instantpaydayloan.net/ quickloans24.biz/cash easy-credit-repair.xyz/offer work-from-home-cash.com/earn make-money-fast.club/join earn-bitcoin-daily.top/ref/77 double-your-crypto.xyz/invest
+free-iphone-winner.top/claim prize-winner-2021.com/claim.php lottery-prize.info/winner youwon.click/gift-card free-giftcards.club/survey win-free-gift.top/survey.html freebies4you.biz/win sweepstakes-winner.xyz/ xxx-tube.biz/hot
+freeporn-videos.xyz/ adult-webcams.top/live sexy-singles.club/chat hot-sex-dating.com/join adultdating-finder.biz/ xxxcams.live/free pornmovies.top/hd local-escorts.xyz/girls escort-girls24.com/ hookup-tonight.club/sexy
+warez-downloads.net/crack keygen-cracks.info/serial crackedsoftware.top/download free-torrent-movies.xyz/hd torrentwarez.biz/ full-cracked-games.com/torrent serialkeys.click/keygen ads.trackerclicks.com/banner?id=3 adserver.bannerfarm.net/click
+click.adtracking.biz/redirect pop-ads-network.com/popunder tracking-pixel.adclick.net/ banner-exchange.info/ads cheap-followers.top/buy buy-instagram-likes.com/cheap seo-backlinks-cheap.biz/order buybacklinks.xyz/
+spam-mailer.top/bulk bulk-email-blast.com/spam secure-login-verify.top/account/update account-verify-paypa1.com/login.php bank-login-update.info/verify phishing-kit.xyz/login free-malware-scan.top/download.exe your-pc-infected.click/scan
+clickbait-daily.xyz/you-wont-believe shocking-celebrity-news.top/viral miracle-cure-revealed.info/ cheap-deals-outlet.shop/discount-sale discountoutlet.top/cheap free-ringtones.biz/win cheapviagrapills.com/ online-gambling-bonus.net/casino
+""".split()
+ORDINARY = """
+en.wikipedia.org/wiki/Glacier docs.python.org/3/library/json.html www.gutenberg.org/ebooks/1342 www.nature.com/articles/d41586 arxiv.org/abs/1706.03762 www.bbc.co.uk/news/science www.theguardian.com/books/2019/review www.loc.gov/collections/maps
+www.nps.gov/yose/planyourvisit www.britannica.com/animal/otter spark.apache.org/docs/latest/sql-ref.html developer.mozilla.org/en-US/docs/Web/HTML stackoverflow.com/questions/11227809 www.kernel.org/doc/html/latest postgresql.org/docs/current/indexes.html
+www.w3.org/TR/html52/ www.ietf.org/rfc/rfc3986.txt www.nasa.gov/missions/apollo www.noaa.gov/weather www.usgs.gov/programs/earthquake-hazards www.who.int/news-room/fact-sheets www.cdc.gov/flu/index.htm www.nhs.uk/conditions/asthma
+www.metmuseum.org/art/collection www.moma.org/calendar/exhibitions www.britishmuseum.org/visit www.louvre.fr/en/explore www.rijksmuseum.nl/en/stories www.si.edu/exhibitions www.tate.org.uk/art/artists www.bl.uk/collection-items
+www.mit.edu/research www.ox.ac.uk/admissions/undergraduate www.stanford.edu/academics www.ethz.ch/de/studium.html www.uni-heidelberg.de/de/forschung www.sorbonne.fr/formation www.unam.mx/investigacion www.cam.ac.uk/colleges
+www.lemonde.fr/culture/article/2020/05/12 www.spiegel.de/wissenschaft/mensch elpais.com/cultura/2018-03-01 www.zeit.de/wissen/umwelt www.liberation.fr/societe www.sueddeutsche.de/reise www.elmundo.es/deportes www.nytimes.com/section/travel
+www.gov.uk/renew-driving-licence www.bundestag.de/dokumente www.service-public.fr/particuliers europa.eu/youth/home www.un.org/en/about-us www.parliament.uk/business www.cityofboston.gov/parks www.berlin.de/tourismus
+www.seattle.gov/transportation www.nyc.gov/schools springfield-library.org/events/story-hour oakhill-elementary.org/calendar lakeside-school.net/parents/newsletter riverton-high-school.org/sports northside-clinic.org/appointments
+gardenclub-notes.org/roses/pruning grandmas-kitchen.net/recipes/apple-pie thebreadbaker.com/sourdough/starter simple-vegan-suppers.com/lentil-soup hiking-the-alps.net/routes/day-3 slowtravel-journal.com/portugal/lisbon
+birdwatch-diary.org/2014/spring oldmapsonline.org/maps woodworking-bench.com/projects/chair knitting-patterns-shop.com/scarf bikerepair-guide.org/brakes localhistorysociety.org/archive/mill astronomy-club.net/telescopes
+photography-walks.com/gallery/harbour chess-openings.org/sicilian classical-music-notes.org/bach/cantatas jazz-records-blog.com/reviews film-review-weekly.com/2017/09 poetry-magazine.org/issues/spring shortstories.net/authors
+family-dentist-austin.com/contact smith-law-office.com/our-team harbour-hotel.co.uk/rooms greenvalley-farm.org/visit corner-bookshop.co.uk/new-arrivals village-bakery.net/opening-times homeimprovement-forum.com/thread/4411
+parenting-forum.net/topic/sleep linux-users-group.org/meetings rustlang-weekly.dev/issue/88 datasciencehandbook.dev/pandas/groupby statistics-lectures.org/regression chemistry-lab-notes.edu/titration opendata.paris.fr/explore
+climate-research-institute.org/reports marinebiology-station.edu/kelp wildlife-trust.org/nature-reserves weather-station-blog.net/rainfall trainspotting-pictures.co.uk/steam community-theatre.org/tickets food-bank-county.org/donate
+animal-shelter.org/adopt/dogs maple-street-church.org/services swimming-club.net/timetable marathon-training.org/plan football-league-tables.co.uk/season chess.org/tournaments used-cars-guide.com/reviews mortgage-explained.org/basics
+""".split()
 
 
 class Rule(NamedTuple):
@@ -38,16 +67,12 @@ RULES = (Rule("net/", "block"), Rule("example.net/en/", "allow"), Rule("example.
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """(host, path, 1 for block) for single words and pairs, with usual prefixes and endings."""
+    """(host, path, 1 for block) of the table; a path ends where path_of() ends it."""
     rows = []
-    for label, words in ((1, BLOCKED_WORDS), (0, ORDINARY_WORDS)):
-        for i, word in enumerate(words):
-            for j, (before, after) in enumerate((("", ".com"), ("www.", ".org"), ("blog.", ".net"), ("m.", ".example.com"), ("", ".example.org"))):
-                other = words[(7 * i + 3 * j + 1) % len(words)]
-                rows.append((before + (f"{word}-{other}" if j % 2 else word) + after, ("/en/12", "/", "/page/7.html", "/de/45/", "")[(i + j) % 5], label))
-    for i in range(600):  # ordinary names that are no words
-        name = "".join(SYLLABLES[(i * k + i // 40 + k * k) % len(SYLLABLES)] for k in (1, 3, 7)[: 2 + i % 2])
-        rows.append((("", "www.", "blog.", "m.")[i % 4] + name + (".com", ".org", ".net", ".example.com", ".example.org")[i % 5], ("/en/12", "/", "/page/7.html", "/de/45/", "")[i % 5], 0))
+    for label, urls in ((1, BLOCKED), (0, ORDINARY)):
+        for url in urls:
+            host, slash, path = url.partition("/")
+            rows.append((host, slash + path.partition("?")[0], label))
     return rows
 
 
@@ -59,28 +84,31 @@ def bucket(gram: str) -> int:
     return h % BUCKETS
 
 
-@lru_cache(maxsize=1)
-def trained() -> tuple[int, tuple[int, ...]]:
-    """Intercept and weights of the logistic regression, times SCALE."""
-    rows = labelled_urls()
-    x = np.zeros((len(rows), BUCKETS + 1))
+def fitted(rows: Sequence[tuple[str, str, int]]) -> tuple[int, tuple[int, ...]]:
+    """Intercept and weights of the logistic regression on labelled urls, times SCALE."""
+    x = np.zeros((len(rows), BUCKETS))
     for i, (host, path, _) in enumerate(rows):
         text = f"^{host}{path}$"
         for n in GRAMS:
             for j in range(len(text) - n + 1):
                 x[i, bucket(text[j : j + n])] += 1
-    x[:, -1] = 1
     y = np.array([label for *_, label in rows], float)
     used = np.flatnonzero(x.any(axis=0))  # other weights stay 0
-    x, ridge = x[:, used], np.where(used == BUCKETS, 0, 0.004)
+    x, ridge, intercept = x[:, used], 0.004, np.log(PRIOR / (1 - PRIOR))
     w, velocity = np.zeros(len(used)), np.zeros(len(used))
     for _ in range(1500):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w + intercept, -30, 30)))
         velocity = 0.9 * velocity - 0.02 * (x.T @ (p - y) / len(y) * 10 + ridge * w)
         w = w + velocity
-    full = np.zeros(BUCKETS + 1)
+    full = np.zeros(BUCKETS)
     full[used] = np.round(w * SCALE)
-    return int(full[-1]), tuple(map(int, full[:-1]))
+    return int(np.round(intercept * SCALE)), tuple(map(int, full))
+
+
+@lru_cache(maxsize=1)
+def trained() -> tuple[int, tuple[int, ...]]:
+    """The model of the whole table."""
+    return fitted(labelled_urls())
 
 
 def host_of(url: Column) -> Column:
