@@ -67,7 +67,7 @@ class Engine:
     def __init__(self, spark: SparkSession, base: str = ".", stdin: BinaryIO | None = None, **properties: Any):
         self.spark, self.base = spark, base if is_uri(base) else os.path.abspath(base)
         self.properties = Properties()
-        self.stdin = Spool(stdin)
+        self.stdin = Spool(stdin, spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark)
         self.imported: dict[str, str] = {}
         self.registered: dict[str, Table] = {}
         self.written: dict[str, tuple[list[str], list[str], Layout]] = {}

@@ -13,7 +13,6 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..errors import PlanFault, SyntaxFault
 from ..functions import scalar as S
@@ -22,7 +21,7 @@ from ..functions.kinds import FLOAT, INT, OTHER, SPARK_TYPES, STRING, UNKNOWN, T
 from ..functions.text import ci
 from ..operators import rewriting
 from ..operators.grouping import grouped
-from ..operators.numbering import numbered
+from ..operators.numbering import numbered, settled
 from ..sources.readers import Table
 from ..sources.schemas import Layout
 from ..sql import nodes as N
@@ -411,10 +410,12 @@ class Planner:
                 row_col = F.col("_place")
         if "__rownum" in names_used and not is_grouped:
             env.rownum = "_rownum"
-            if query.joins or not scope:
-                df = df.withColumn("_rownum", F.row_number().over(W.orderBy(F.monotonically_increasing_id())).cast("bigint"))
+            if not scope:
+                df = df.withColumn("_rownum", F.lit(1).cast("bigint"))
+            elif self.check:
+                df = df.withColumn("_rownum", F.lit(0).cast("bigint"))
             else:
-                df = numbered(df, "_rownum")
+                df = numbered(settled(df) if query.joins else df, "_rownum")
         items = self.expand(query.items, scope)
         if is_grouped:
             df, env, row_col = self.group(query, order, df, env, row_col, items)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 from collections.abc import Callable
@@ -227,20 +228,27 @@ def _folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="marlstone-", dir=folder)
 
 
-def _writing(sql: str, files: dict[str, str] | None = None, variables: dict[str, str] | None = None, parts: int = 0, **properties: object) -> Query:
-    """A script over copies in a new folder; parts: with the customers, by key, in a Parquet table `many` of so many files."""
+def _writing(sql: str, files: dict[str, str] | None = None, variables: dict[str, str] | None = None, parts: int = 0, stdin: bytes = b"", step: int = 0, lines: bool = False, **properties: object) -> Query:
+    """A script over copies in a new folder; parts: with the customers, by key, in a Parquet table `many` of so many files;
+    step: run up to that SELECT only; lines: what the command line would print, a row for each line with its terminator.
+    """
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = _folder(spark)
         for name, text in (files or {}).items():
             with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
                 f.write(text)
-        engine = Engine(spark, folder, overwrite=True, **properties)
+        engine = Engine(spark, folder, io.BytesIO(stdin), overwrite=True, allow_stdin=bool(stdin), **properties)
         for name in ("region", "nation", "customer", "orders", "supplier", "part"):
             engine.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
         for name, value in (variables or {}).items():
             engine.import_variable(f"{name}={value}")
         if parts:
             spark.read.parquet(f"{sf_dir}/customer.parquet").repartitionByRange(parts, "c_custkey").sortWithinPartitions("c_custkey").write.parquet(f"file://{folder}/many.parquet")
+        if lines:  # of a few rows
+            return spark.createDataFrame([(line,) for line in engine.text(engine.execute(sql)[-1])], "line string")
+        if step:
+            engine.prepare(sql)
+            return [engine.until_select() for _ in range(step)][-1].result.named()
         return engine.query(sql)
 
     return run
@@ -297,6 +305,21 @@ WRITERS: dict[str, tuple[Query, str | None]] = {
     "loose_groups": (_writing("select n_regionkey, r_name from nation join region on r_regionkey = n_regionkey group by n_regionkey", loose_groups=True), "SELECT DISTINCT n_regionkey::BIGINT AS n_regionkey, r_name FROM nation JOIN region ON r_regionkey = n_regionkey"),
     "char_as_byte": (_writing("select n_nationkey, left('é' + n_name, 3) a, len('é' + n_name) b from nation", char_as_byte=True), "SELECT n_nationkey::BIGINT AS n_nationkey, 'é' || left(n_name, 1) AS a, (length(n_name) + 2)::BIGINT AS b FROM nation"),
     "force_cartesian": (_writing("select n_name, r_name from nation join region on n_regionkey = r_regionkey", force_cartesian=True), "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "rownum_join": (_writing("select __rownum n from nation join region on n_regionkey >= r_regionkey"), "SELECT row_number() OVER () AS n FROM nation JOIN region ON n_regionkey >= r_regionkey"),
+    "stdin_join": (
+        _writing("select r_name, s.label from __stdin s join region on r_regionkey = s.id where s.label <> 'two'", stdin=b'id,label\n0,"nought, or none"\n2,two\n4,four\n9,nine\n'),
+        "SELECT r_name, CASE r_regionkey WHEN 0 THEN 'nought, or none' ELSE 'four' END AS label FROM region WHERE r_regionkey IN (0, 4)",
+    ),
+    "input_unquoted": (_writing("select k, v from [raw.csv] where k > 1", {"raw.csv": 'k,v\n1,"a\n2,b"\n3,"c"\n'}, in_std="NONE"), "SELECT * FROM (VALUES ('2', 'b\"'), ('3', '\"c\"')) t(k, v)"),
+    "output_weak": (
+        _writing("select n_nationkey k, n_name + '; ' + n_name pair from nation where n_regionkey = 1", lines=True, out_std="WEAK", out_delim=";"),
+        "SELECT 'k;pair' || chr(10) AS line UNION ALL SELECT n_nationkey || ';\"' || n_name || '; ' || n_name || '\"' || chr(10) FROM nation WHERE n_regionkey = 1",
+    ),
+    "output_all_crlf": (
+        _writing("select n_nationkey, n_name + '\"' name from nation where n_regionkey <> 1", lines=True, out_std="ALL", out_delim="|", crlf_output=True, no_header=True),
+        "SELECT '\"' || n_nationkey || '\"|\"' || n_name || '\"\"\"' || chr(13) || chr(10) AS line FROM nation WHERE n_regionkey <> 1",
+    ),
+    "step_to_select": (_writing("select 1 a declare @k int = 3 select n_name from nation where n_regionkey = @k select 2 b", step=2), "SELECT n_name FROM nation WHERE n_regionkey = 3"),
     "imported_variable": (_writing("declare @least int select n_name from nation where n_nationkey > @least", variables={"least": "20"}), "SELECT n_name FROM nation WHERE n_nationkey > 20"),
 }
 

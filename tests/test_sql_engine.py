@@ -207,6 +207,13 @@ QUERIES = [
 ]
 
 
+def test_row_numbers_of_joins(engine):
+    got = rows(engine, "select __rownum n, a.foo from t1 a join t3 b on a.baz > b.baz")
+    pairs = rows(engine, "select a.foo from t1 a join t3 b on a.baz > b.baz")
+    assert sorted(n for n, _ in got) == list(range(1, len(pairs) + 1)) and sorted((f,) for _, f in got) == sorted(pairs)
+    assert rows(engine, "select __rownum, 'x'") == [(1, "x")]
+
+
 @pytest.mark.parametrize(("sql", "expected"), [q for q in QUERIES if q[1] is not None])
 def test_queries(engine, sql, expected):
     got = rows(engine, sql)

@@ -10,6 +10,7 @@ from marlstone.engine import Engine
 from marlstone.errors import PlanFault
 from marlstone.sources import readers
 from marlstone.sources.readers import read_parquet
+from marlstone.streaming.stdin import Spool
 
 from . import tables
 
@@ -160,6 +161,17 @@ def test_stdin_once(spark, folder):
     assert e.query("select a from __stdin").first()[0] == "1"
 
 
+@pytest.mark.parametrize("scheme", ["", "file://", "file:"])
+def test_stdin_in_a_shared_folder(spark, tmp_path, scheme):
+    """The spooled input lies in the shared folder while it is used: a path, a local URI, and any other URI."""
+    spool = Spool(io.BytesIO(b"a\n1\n"), f"{scheme}{tmp_path}/shared", spark)
+    path = spool.file()
+    assert [r[0] for r in spark.read.text(path).collect()] == ["a", "1"] and spool.file() == path
+    assert [p.name for p in (tmp_path / "shared").glob("stdin-*")] == [os.path.basename(path)]
+    spool.close()
+    assert not list((tmp_path / "shared").glob("stdin-*"))
+
+
 def test_micro_batches(spark, tmp_path):
     from marlstone.streaming.microbatch import select_each_batch
 
