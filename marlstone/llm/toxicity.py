@@ -127,7 +127,12 @@ class Slots:
 def _hashes(sums: np.ndarray, starts: np.ndarray, size: np.ndarray | int) -> np.ndarray:
     """Of the first so many symbols from each start."""
     down = powers(BYTE_BASE, len(sums))[1]
-    return mix((sums[starts + size] - sums[starts]) * down[starts] + np.asarray(size).astype(U) * U(0xC2B2AE3D27D4EB4F))
+    return _sealed((sums[starts + size] - sums[starts]) * down[starts], size)
+
+
+def _sealed(sums: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """Hashes of so many symbols each, from the sums of symbols times powers."""
+    return mix(sums + np.asarray(size).astype(U) * U(0xC2B2AE3D27D4EB4F))
 
 
 def _ended(hashes: np.ndarray) -> np.ndarray:
@@ -193,6 +198,10 @@ def four_of(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, depth: i
     return out[0], out[1] << 2 * SYMBOL | out[2] << SYMBOL | out[3]
 
 
+def _key(a: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return mix(mix(a.view(U)) + low.view(U))
+
+
 def shared(texts: DataFrame, a: np.ndarray, low: np.ndarray) -> np.ndarray:
     """P(symbol | three before) of the shared order, for a bounded number of (a, low); its counts cover all texts."""
     spark = texts.sparkSession
@@ -205,20 +214,24 @@ def shared(texts: DataFrame, a: np.ndarray, low: np.ndarray) -> np.ndarray:
     # one table of all: (size, a, low) with n, kinds of symbols before; (10 + size, a, context) with their sum t and number k
     parts = [t.select(F.lit(size).alias("size"), "a", "low", "n", none.alias("t"), none.alias("k")) for size, t in by_size.items()]
     parts += [t.groupBy("a", F.shiftright("low", SYMBOL).alias("low")).agg(F.sum("n").alias("t"), F.count("*").alias("k")).select(F.lit(10 + size).alias("size"), "a", "low", none.alias("n"), "t", "k") for size, t in by_size.items()]
-    asked: dict[int, pd.DataFrame] = {}
-    for size in by_size:
-        own = pd.DataFrame({"a": a if size == 4 else 0, "low": low & mask(min(size, 3))})
-        asked[size], asked[10 + size] = own, own.assign(low=own["low"].to_numpy() >> SYMBOL)
-    ask = pd.concat([x.drop_duplicates().assign(size=size) for size, x in asked.items()]).astype({"size": np.int32})
-    ask = spark.createDataFrame(pa.Table.from_pandas(ask, preserve_index=False))
-    found = reduce(DataFrame.unionAll, parts).join(F.broadcast(ask), ["size", "a", "low"]).toArrow().to_pandas()
-
-    def looked_up(size: int, value: str) -> np.ndarray:
-        return asked[size].merge(found[found["size"] == size], "left", ["a", "low"])[value].fillna(0).to_numpy(float)
-
-    p = (looked_up(1, "n") + 0.5) / (looked_up(11, "t") + 0.5 * (looked_up(11, "k") + 1))
+
+    def asked(size: int) -> pd.DataFrame:  # made again where it is used: the driver holds one of the eight
+        own = low & mask(min(size % 10, 3))
+        return pd.DataFrame({"a": a if size % 10 == 4 else 0, "low": own >> SYMBOL if size > 10 else own})
+
+    ask = pa.concat_tables(pa.Table.from_pandas(asked(size).drop_duplicates().assign(size=np.int32(size)), preserve_index=False) for size in (*by_size, *(10 + size for size in by_size)))
+    ask = spark.createDataFrame(ask)
+    found = reduce(DataFrame.unionAll, parts).join(F.broadcast(ask), ["size", "a", "low"]).toArrow()
+
+    def looked_up(size: int, *values: str) -> list[np.ndarray]:
+        own = found.filter(pc.equal(found["size"], size)).select(["a", "low", *values]).to_pandas()
+        own = asked(size).merge(own, "left", ["a", "low"])
+        return [own[v].fillna(0).to_numpy(float) for v in values]
+
+    (n,), (t, k) = looked_up(1, "n"), looked_up(11, "t", "k")
+    p = (n + 0.5) / (t + 0.5 * (k + 1))
     for size in (2, 3, 4):
-        n, t, k = looked_up(size, "n"), looked_up(10 + size, "t"), looked_up(10 + size, "k")
+        (n,), (t, k) = looked_up(size, "n"), looked_up(10 + size, "t", "k")
         p = np.where(t > 0, (np.maximum(n - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * k * p) / np.maximum(t, 1), p)
     return p
 
@@ -245,23 +258,28 @@ class Level(NamedTuple):
 
 
 def levels(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[Level]:
-    sums, last = _sums(symbols), np.zeros(len(starts), np.int64)
-    at = np.arange(len(starts))
+    """The sums of _hashes() grow by a symbol a level: the driver holds one for each expression, none for each symbol."""
+    sums, last = np.zeros(len(starts), U), np.zeros(len(starts), np.int32)
+    at, power = np.arange(len(starts), dtype=np.int32), 1
     for depth in range(LONGEST + 1):
         at = at[sizes[at] >= depth]
         if not len(at):
             return
         ended = sizes[at] == depth
-        h = _hashes(sums, starts[at], np.minimum(depth + 1, sizes[at]))
+        on = at[~ended]
+        sums[on] += symbols[starts[on] + depth] * U(power)
+        h = _sealed(sums[at], depth + ~ended)
         h[ended] = _ended(h[ended])
         hashes, first, which = np.unique(h, return_index=True, return_inverse=True)
+        which = which.astype(np.int32)
         yield Level(hashes, at[first], last[at[first]], at, which)
         last[at] = which
+        power = power * BYTE_BASE % (1 << 64)
 
 
 def beginnings(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, lower: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Beginnings:
     """From distinct expressions, in how many texts of each class they are, and the shared order's P of (a, low)."""
-    hashes, ratios, rests, root = [], [], [], 0.0
+    hashes, ratios, rests, root, before = [], [], [], 0.0, np.zeros(1)
     for depth, x in enumerate(levels(symbols, starts, sizes)):
         p = lower(*four_of(symbols, starts[x.example], sizes[x.example], depth))
         number = len(hashes[-1]) if depth else 1
@@ -273,17 +291,18 @@ def beginnings(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ordin
             step += sign * np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[x.before] + left[x.before] * p)
             rest += sign * np.log(left)
         if depth:
-            rests.append(rest)
+            rests.append(rest.astype(np.float32))
         else:
             root = float(rest[0])
         hashes.append(x.hashes)
-        ratios.append(step + (ratios[-1][x.before] if depth else 0))
+        before = step + before[x.before]
+        ratios.append(before.astype(np.float32))
     if not hashes:
         return Beginnings(np.empty(0, U), np.empty(0, np.float32), np.empty(0, np.float32), 0.0)
-    rests.append(np.zeros(len(hashes[-1])))
-    all_hashes = np.concatenate(hashes)
-    order = np.argsort(all_hashes)
-    return Beginnings(all_hashes[order], np.concatenate(ratios)[order].astype(np.float32), np.concatenate(rests)[order].astype(np.float32), root)
+    rests.append(np.zeros(len(hashes[-1]), np.float32))
+    order = np.argsort(all_hashes := np.concatenate(hashes))
+    hashes.clear()
+    return Beginnings(all_hashes[order], np.concatenate(ratios)[order], np.concatenate(rests)[order], root)
 
 
 def ratios_of(model: Beginnings, x: Scan, first: np.ndarray) -> np.ndarray:
@@ -332,7 +351,9 @@ class Model(NamedTuple):
 
 
 def squeezed(model: Beginnings) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(model.hashes, prepend=U(0)).tobytes() + model.ratios.tobytes() + model.rests.tobytes())
+    stream = zstandard.ZstdCompressor(level=1).compressobj(size=16 * len(model.hashes))
+    parts = [stream.compress(x.data) for x in (np.diff(model.hashes, prepend=U(0)), model.ratios, model.rests)]
+    return b"".join([*parts, stream.flush()])
 
 
 @lru_cache(maxsize=1)
@@ -411,14 +432,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     starts = np.cumsum(sizes) - sizes
     del words
     tidy()
-    needed = [np.unique(np.stack(four_of(symbols, starts[x.example], sizes[x.example], depth)), axis=1) for depth, x in enumerate(levels(symbols, starts, sizes))]
-    needed = np.unique(np.concatenate(needed, axis=1), axis=1)
-    keys = mix(mix(needed[0].view(U)) + needed[1].view(U))
-    order = np.argsort(keys)
-    p, keys = shared(rows.select("text"), *needed)[order], keys[order]
-    model = beginnings(symbols, starts, sizes, n0, n1, lambda a, low: p[np.searchsorted(keys, mix(mix(a.view(U)) + low.view(U)))])
+    keys, needed = np.empty(0, U), np.empty((2, 0), np.int64)
+    for depth, x in enumerate(levels(symbols, starts, sizes)):
+        own = np.stack(four_of(symbols, starts[x.example], sizes[x.example], depth))
+        keys, first = np.unique(np.r_[keys, _key(*own)], return_index=True)
+        needed = np.concatenate([needed, own], axis=1)[:, first]
+    del x, own, first
+    tidy()
+    p = shared(rows.select("text"), *needed)
+    del needed
+    tidy()
+    model = beginnings(symbols, starts, sizes, n0, n1, lambda a, low: p[np.searchsorted(keys, _key(a, low))])
+    del symbols, starts, sizes, n0, n1, keys, p
     plain = Model(squeezed(model), model.root, 1.0, 0.0)
-    del model, symbols, starts, sizes, needed, keys, p
+    del model
     tidy()
     shipped = spark.sparkContext.broadcast(plain)
     targets = spark.createDataFrame([(k, v) for k, v in use.items()], known.schema)

@@ -1,5 +1,6 @@
 import math
 import os
+import tracemalloc
 import unicodedata
 from collections import Counter
 
@@ -131,6 +132,25 @@ def test_expressions():
     assert all(got[a:z] == plain_expressions(t) for t, a, z in zip(["Ab c--d2é", "", "  ", "abc日本語かn", "z" * 130], x.bounds, x.bounds[1:], strict=False))
 
 
+def test_levels_hold_little_more_than_the_symbols():
+    """The driver builds the class models: no running sums and powers for each symbol there, and the same hashes as the tasks'."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, toxicity.LONGEST + 1, 60000)
+    symbols, starts = rng.integers(97, 105, int(sizes.sum()), dtype=np.uint32), np.cumsum(sizes) - sizes
+    tracemalloc.start()
+    for _ in toxicity.levels(symbols, starts, sizes):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(symbols)
+    sums = toxicity._sums(symbols)
+    for depth, x in enumerate(toxicity.levels(symbols, starts, sizes)):
+        own = toxicity._hashes(sums, starts[x.expressions], np.minimum(depth + 1, sizes[x.expressions]))
+        ended = sizes[x.expressions] == depth
+        own[ended] = toxicity._ended(own[ended])
+        assert np.array_equal(x.hashes[x.which], own)
+
+
 def test_texts_do_not_depend_on_neighbours(scored):
     model = toxicity.unsqueezed(scored[2].blob, scored[2].root)
     texts = ["zwackel words here", None, "", "ab", "zwackel words here", "...", "x " * 5000]
