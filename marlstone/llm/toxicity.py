@@ -43,7 +43,8 @@ U = np.uint64
 LEARN_ROWS, CALIBRATE_ROWS, CALIBRATE_ONE_IN = 8192, 4000, 5
 #: Counts up to DISCOUNT say nothing by themselves; the shared order's discount; the toxic model's weight in a toxic text; added before the logarithm.
 DISCOUNT, SHARED_DISCOUNT, MIXED, FLOOR = 2.0, 0.75, 0.01, 0.001
-CHUNK = 1 << 20
+#: Symbols that a task works on at once; of a longer text, all. Scoring takes some 50 bytes for each, and two tasks share an executor.
+CHUNK = 1 << 18
 THRESHOLD = 0.7
 #: Symbols of an expression, and of one in a script without blanks.
 LONGEST, DENSE_LONGEST = 64, 4

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import toxicity
+from marlstone.llm import textvec, toxicity
 
 
 def corpus(n=900, seed=5):
@@ -159,6 +159,23 @@ def test_texts_do_not_depend_on_neighbours(scored):
     assert together[1] == 0 and together[0] == together[4]
 
 
+def test_pieces_of_a_batch(scored, monkeypatch):
+    """A task works a batch off in pieces: a few bytes of memory for each symbol of the batch, and the same results however it is cut."""
+    model = toxicity.unsqueezed(scored[2].blob, scored[2].root)
+    rows, _ = corpus(4000, seed=9)
+    texts = [t for _, t in rows]
+    monkeypatch.setattr(textvec, "_KEPT", {})
+    known = toxicity.Slots()
+    toxicity.differences(model, ["zwackel"], known)  # what is kept for good
+    tracemalloc.start()
+    whole = toxicity.differences(model, texts, known)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 1 << 20 and peak < 20 << 20
+    monkeypatch.setattr(toxicity, "CHUNK", 1000)
+    assert np.array_equal(whole, toxicity.differences(model, texts))
+
+
 def test_threshold_counts_as_toxic(spark, scored):
     *_, model, _ = scored
     df = spark.createDataFrame([("zwackel zwackel the",)], "text string")
